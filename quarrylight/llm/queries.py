@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import chat, packing, simhash
-from quarrylight.llm.common import read_table
+from quarrylight.llm import chat, packing, quality, simhash
+from quarrylight.llm.common import crc_mod, read_table
 
 
 def byte_bpe() -> str:
@@ -16,6 +16,17 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: A text is kept when it is at least this likely to be of quality 1.
+KEEP_AT = 0.7
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 4) != 2).select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score(docs, quality.fit(docs, labels))
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= KEEP_AT).cast("int").alias("predicted"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -33,6 +44,7 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
     "op8_chat_format": op8_chat_format,
     "op9_pack": op9_pack,
