@@ -70,23 +70,58 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_PART = 1 << 20
+
+
 def word_hashes(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of a byte string, and their start offsets.
 
     Each byte is looked up in a random table by its place in the word; the sum, mixed with
-    the word's length, is the hash. Equal words have equal hashes wherever they stand.
+    the word's length, is the hash. Equal words have equal hashes wherever they stand. Long data
+    is taken in parts of about a megabyte that end between words.
     """
     raw = table[np.frombuffer(data, dtype=np.uint8)]
-    inside = raw != 0
-    edge = np.empty(len(raw) + 1, dtype=np.int8)
-    edge[0], edge[-1] = inside[0] if len(raw) else 0, -(inside[-1] if len(raw) else 0)
-    np.subtract(inside[1:], inside[:-1], out=edge[1:-1], dtype=np.int8)
+    hashes, starts, at = [], [], 0
+    while at < len(raw):
+        end = at + _PART
+        while end < len(raw) and raw[end]:
+            end += 1
+        h, s = _hashes_of(raw[at:end])
+        hashes.append(h)
+        starts.append(s + at)
+        at = end
+    if not hashes:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def _hashes_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    inside = np.zeros(len(raw) + 2, dtype=np.int8)
+    inside[1:-1] = raw != 0
+    edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return np.empty(0, dtype=np.uint64), starts
-    chars = raw[inside].astype(np.int64)
+    chars = raw[raw != 0].astype(np.int64)
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     place = np.arange(len(chars)) - np.repeat(first, lengths)
     sums = np.add.reduceat(_TABULATION[(place % _DEPTH) * 256 + chars], first)
     return mix64(sums + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), starts
+
+
+def chunks(ids: list, texts, limit: int = 1 << 20):
+    """Rows of an Arrow batch in groups of about `limit` bytes: (ids, encoded texts). Null texts are empty."""
+    group: list = []
+    data: list[bytes] = []
+    size = 0
+    for doc_id, text in zip(ids, texts, strict=True):
+        raw = (text.as_py() or "").encode()
+        group.append(doc_id)
+        data.append(raw)
+        size += len(raw)
+        if size >= limit:
+            yield group, data
+            group, data, size = [], [], 0
+    if group:
+        yield group, data

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import chat, packing, quality, simhash
+from quarrylight.llm import chat, decontam, packing, quality, simhash
 from quarrylight.llm.common import crc_mod, read_table
 
 
@@ -16,6 +16,10 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 #: A text is kept when it is at least this likely to be of quality 1.
 KEEP_AT = 0.7
 
@@ -44,13 +48,39 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
     "op8_chat_format": op8_chat_format,
     "op9_pack": op9_pack,
 }
 
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
 ORACLES = {
+    "op1_decontaminate": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+i AS (SELECT item_id, ws, len(ws) AS n, least(len(ws), 16) AS win FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) AS b WHERE len(ws) >= 8),
+dw AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM d),
+iw AS (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS q FROM i),
+pairs AS (
+  SELECT doc_id, item_id, p - q AS shift FROM dw JOIN iw USING (w) GROUP BY ALL
+  HAVING count(*) >= 7
+), windows AS (
+  SELECT doc_id, item_id, shift, win, ws, unnest(range(0, n - win + 1)) AS q FROM pairs JOIN i USING (item_id)
+), counted AS (
+  SELECT x.doc_id, item_id, shift, win, q,
+    len(list_filter(range(0, win), lambda k : x.ws[q + k + 1] <> d.ws[shift + q + k + 1])) AS wrong
+  FROM windows AS x JOIN d ON d.doc_id = x.doc_id WHERE shift + q >= 0 AND shift + q + win <= len(d.ws)
+), best AS (
+  SELECT doc_id, item_id, wrong AS substitutions, shift + q AS doc_start, q AS item_start, win AS win_size,
+    row_number() OVER (PARTITION BY doc_id, item_id ORDER BY wrong, shift + q, q) AS r
+  FROM counted WHERE wrong <= CASE WHEN win >= 16 THEN 3 WHEN win >= 12 THEN 2 ELSE 1 END
+)
+SELECT doc_id, item_id, CAST(substitutions AS BIGINT) AS substitutions, CAST(doc_start AS BIGINT) AS doc_start,
+  CAST(item_start AS BIGINT) AS item_start, CAST(win_size AS BIGINT) AS "window"
+FROM best WHERE r = 1
+""",
     "op8_chat_format": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
