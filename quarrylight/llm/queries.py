@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import chat, decontam, packing, quality, simhash
+from quarrylight.llm import chat, decontam, linededup, packing, quality, simhash
 from quarrylight.llm.common import crc_mod, read_table
 
 
@@ -36,6 +36,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
+    "op7_line_dedup": op7_line_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_pack": op9_pack,
 }
@@ -80,6 +85,36 @@ pairs AS (
 SELECT doc_id, item_id, CAST(substitutions AS BIGINT) AS substitutions, CAST(doc_start AS BIGINT) AS doc_start,
   CAST(item_start AS BIGINT) AS item_start, CAST(win_size AS BIGINT) AS "window"
 FROM best WHERE r = 1
+""",
+    "op7_line_dedup": r"""
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+  FROM documents WHERE text IS NOT NULL
+), lines AS (
+  SELECT doc_id, line_no, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS l, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM raw
+), placed AS (
+  SELECT *, row_number() OVER o AS pos, sum(w) OVER o AS upto FROM lines WHERE w > 0
+  WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)
+), spans AS (
+  SELECT a.doc_id, a.pos AS a, min(b.pos) AS b FROM placed AS a JOIN placed AS b
+    ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.pos < a.pos + 8 AND b.upto - a.upto + a.w >= 8 GROUP BY ALL
+  UNION
+  SELECT a.doc_id, max(a.pos) AS a, b.pos AS b FROM placed AS a JOIN placed AS b
+    ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.pos < a.pos + 8 AND b.upto - a.upto + a.w >= 8 GROUP BY a.doc_id, b.pos
+), told AS (
+  SELECT s.doc_id, s.a, s.b, min(p.line_no) AS first_line, max(p.line_no) AS last_line, list(p.l ORDER BY p.pos) AS content
+  FROM spans AS s JOIN placed AS p ON p.doc_id = s.doc_id AND p.pos BETWEEN s.a AND s.b GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, a) AS r FROM told
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(first_line, last_line + 1)) AS line_no FROM ranked WHERE r > 1
+), rest AS (
+  SELECT raw.doc_id, count(gone.line_no) AS removed, string_agg(raw.line, chr(10) ORDER BY raw.line_no) FILTER (gone.line_no IS NULL) AS text
+  FROM raw LEFT JOIN gone USING (doc_id, line_no) GROUP BY raw.doc_id
+)
+SELECT d.doc_id, CASE WHEN removed > 0 AND NOT regexp_matches(coalesce(rest.text, ''), '[^\x20\x09-\x0D]') THEN '' WHEN d.text IS NULL THEN NULL ELSE coalesce(rest.text, '') END AS text,
+  CAST(coalesce(removed, 0) AS BIGINT) AS lines_removed
+FROM documents AS d LEFT JOIN rest USING (doc_id)
 """,
     "op8_chat_format": r"""
 WITH turns AS (
