@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import chat, decontam, linededup, packing, quality, simhash
+from quarrylight.llm import chat, decontam, licenses, linededup, packing, quality, simhash
 from quarrylight.llm.common import crc_mod, read_table
 
 
@@ -51,6 +51,10 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op4_quality": op4_quality,
@@ -58,6 +62,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_pack": op9_pack,
+    "op10_license_scan": op10_license_scan,
 }
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
