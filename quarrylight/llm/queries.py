@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import ann, chat, decontam, licenses, linededup, lm, packing, quality, simhash
+from quarrylight.llm import ann, chat, decontam, html, licenses, linededup, lm, packing, quality, simhash
 from quarrylight.llm.common import crc_mod, read_table
 
 
@@ -20,6 +20,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages))
+
+
 def op3_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -66,6 +71,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_html_text": op2_html_text,
     "op3_permutation_ann": op3_permutation_ann,
     "op4_quality": op4_quality,
     "op5_lm_score": op5_lm_score,
