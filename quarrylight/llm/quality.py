@@ -11,7 +11,8 @@ a million characters that end at white space, where no feature crosses.
 
 Defined results: a null or empty text has no features and gets the score of the mean document
 without any (the bias alone); repeated rows are scored each; an empty table gives no rows; other
-columns are ignored. Without labelled rows of both classes there is nothing to learn: ValueError.
+columns are ignored. Without labelled texts of both classes nothing is learned, and every row gets the share of
+label 1 among the labelled rows (0.98 at most, also if there are none).
 """
 
 from __future__ import annotations
@@ -144,7 +145,6 @@ def learn(rows: list[tuple[int, np.ndarray, np.ndarray]], prior: float, settings
                 layer -= rate * np.outer(mean, p)
                 bias -= rate * p
                 table[ids] -= (rate * shares)[:, None] * back * np.float32(settings.dim * 4)
-    prior = min(max(prior, 0.02), 0.98)
     return (table @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0] + np.log(prior / (1 - prior)))
 
 
@@ -161,8 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     rows = [(r["label"], np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["shares"], "<f4")) for r in hashed_counts(texts, settings).toLocalIterator()]
     rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
     rows = [r for r in rows if len(r[1])]
+    share = min(max(1.0 if share is None else share, 0.02), 0.98)
     if {r[0] for r in rows} != {0, 1}:
-        raise ValueError("labelled texts of both classes are needed")
+        return np.zeros(1 << settings.bits, dtype=np.float32), float(np.log(share / (1 - share)))
     return learn(rows, share, settings)
 
 

@@ -1,5 +1,8 @@
-"""What the entry module registers."""
+"""What the entry module registers: the operators' queries and the pipeline."""
 
-from quarrylight.llm.queries import ORACLES, QUERIES
+import corpus_pipeline
+from quarrylight.llm.queries import ORACLES as _ORACLES
+from quarrylight.llm.queries import QUERIES as _QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+QUERIES = {**_QUERIES, "pipeline": corpus_pipeline.run}
+ORACLES = {**_ORACLES, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}

@@ -33,6 +33,8 @@ from pyspark.sql import types as T
 from quarrylight.llm.common import cut, mix64
 
 SEED = 42
+#: Five-word shingles at a similarity of about 0.8 or more.
+WIDE = {"width": 5, "words": 4, "block_bits": 32, "block_limit": 2, "limit": 40}
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -105,32 +107,22 @@ def syndrome_of(blocks: np.ndarray, block_bits: int) -> np.ndarray:
     return out
 
 
-def local_stars(nodes: np.ndarray, words: np.ndarray, shift: int, block_bits: int, block_limit: int, limit: int) -> list[tuple[int, int]]:
-    """Edges (node, smallest node) of the connected groups among an anchor's fingerprints.
-
-    Rows are compared in blocks of 1024, so memory stays bounded; all pairs are looked at.
-    """
-    n, step = len(nodes), 1024
-    block_mask = np.uint64((1 << block_bits) - 1)
-    word, shift_in = shift // 64, np.uint64(shift % 64)
-    blocks = (words[:, word] >> shift_in) & block_mask
-    label = np.arange(n)
-    links: list[tuple[np.ndarray, np.ndarray]] = []
+def near_pairs(words: np.ndarray, limit: int, step: int = 1024):
+    """All pairs (x < y) of rows that differ in at most `limit` bits, in blocks of bounded size."""
+    n = len(words)
     for a in range(0, n, step):
         for b in range(a, n, step):
-            near = np.bitwise_count(blocks[a : a + step, None] ^ blocks[None, b : b + step]) <= block_limit
-            if near.any() and words.shape[1] * 64 > block_bits:
-                total = sum(np.bitwise_count(words[a : a + step, None, k] ^ words[None, b : b + step, k]).astype(np.int16) for k in range(words.shape[1]))
-                near &= total <= limit
-            x, y = np.nonzero(near)
+            far = sum(np.bitwise_count(words[a : a + step, None, k] ^ words[None, b : b + step, k]).astype(np.int16) for k in range(words.shape[1]))
+            x, y = np.nonzero(far <= limit)
             keep = x + a < y + b
-            x, y = x[keep] + a, y[keep] + b
-            if len(x):
-                # Two rows already in one group need no second link.
-                low = np.minimum(label[x], label[y])
-                links.append((x, y))
-                np.minimum.at(label, x, low)
-                np.minimum.at(label, y, low)
+            if keep.any():
+                yield x[keep] + a, y[keep] + b
+
+
+def local_stars(nodes: np.ndarray, words: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Edges (node, smallest node) of the connected groups of one anchor's rows, which are sorted by node."""
+    label = np.arange(len(nodes))
+    links = list(near_pairs(words, limit))
     changed = bool(links)
     while changed:
         before = label.copy()
@@ -140,59 +132,96 @@ def local_stars(nodes: np.ndarray, words: np.ndarray, shift: int, block_bits: in
             np.minimum.at(label, y, low)
         label = label[label]
         changed = bool((label != before).any())
-    return [(int(nodes[i]), int(nodes[label[i]])) for i in np.flatnonzero(label != np.arange(n))]
+    return [(int(nodes[i]), int(nodes[label[i]])) for i in np.flatnonzero(label != np.arange(len(nodes)))]
 
 
-def anchor_edges(nodes: DataFrame, words: int, block_bits: int, block_limit: int, limit: int) -> DataFrame:
-    """Edges (a, b), a > b, between the nodes of linked fingerprints, found at common anchors."""
-    radius = 1 + -(-block_limit // 2)
-    masks, begin = error_table(block_bits, radius)
-    names = [f"w{k}" for k in range(words)]
-    blocks_per_word = 64 // block_bits
+def _by_key(batches, words: int):
+    """Rows (key, node, words..) of a partition, sorted, and the bounds of the keys with two rows or more."""
+    batches = list(batches)
+    table = pa.Table.from_batches(batches) if batches else None
+    if table is None or not table.num_rows:
+        return None
+    key, node = table.column(0).to_numpy(), table.column(1).to_numpy()
+    w = np.stack([table.column(2 + k).to_numpy().view(np.uint64) for k in range(words)], axis=1)
+    order = np.lexsort((node, key))
+    key, node, w = key[order], node[order], w[order]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key, node, w, new, np.diff(np.r_[new, len(node)])
+
+
+def _stars(limit: int, words: int):
+    """From rows (key, node, words..), each key in one partition, to the edges of the groups at each key."""
 
-    def post(batches):
+    def run(batches):
+        if (rows := _by_key(batches, words)) is None:
+            return
+        _, node, w, new, size = rows
+        two = new[size == 2]
+        near = two[np.bitwise_count(w[two] ^ w[two + 1]).astype(np.int16).sum(axis=1) <= limit]
+        found = set(zip(node[near + 1].tolist(), node[near].tolist(), strict=True))
+        for at, n in zip(new[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            found.update(local_stars(node[at : at + n], w[at : at + n], limit))
+        pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def _near_rows(limit: int):
+    """From rows (key, node, block) to those rows (key, node) that have another one of their key within the limit."""
+
+    def run(batches):
+        if (rows := _by_key(batches, 1)) is None:
+            return
+        key, node, w, new, size = rows
+        kept = np.zeros(len(node), dtype=bool)
+        two = new[size == 2]
+        near = two[np.bitwise_count(w[two, 0] ^ w[two + 1, 0]) <= limit]
+        kept[near] = kept[near + 1] = True
+        for at, n in zip(new[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            for x, y in near_pairs(w[at : at + n], limit):
+                kept[at + x] = kept[at + y] = True
+        yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(node[kept])], names=["key", "node"])
+
+    return run
+
+
+def post(nodes: DataFrame, words: int, block_bits: int, block_limit: int) -> DataFrame:
+    """key, node, block: each node at every anchor of each of its blocks."""
+    masks, begin = error_table(block_bits, 1 + -(-block_limit // 2))
+    blocks = [(w, s) for w in range(words) for s in range(0, 64, block_bits)]
+
+    def run(batches):
         for batch in batches:
-            w = np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(words)], axis=1)
-            for block in range(words * blocks_per_word):
-                shift = block * block_bits
-                own = (w[:, shift // 64] >> np.uint64(shift % 64)) & np.uint64((1 << block_bits) - 1)
+            node = batch.column(0).to_numpy()
+            for number, (word, shift) in enumerate(blocks):
+                own = (batch.column(1 + word).to_numpy().view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << block_bits) - 1)
                 s = syndrome_of(own, block_bits)
                 many = begin[s + 1] - begin[s]
                 row = np.repeat(np.arange(len(own)), many)
                 at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + begin[s][row]
-                anchors = (own[row] ^ masks[at]).view(np.int64)
-                cols = [pa.array(np.full(len(row), block, dtype=np.int32)), pa.array(anchors), batch.column(0).take(pa.array(row))]
-                cols += [batch.column(1 + k).take(pa.array(row)) for k in range(words)]
-                table = pa.RecordBatch.from_arrays(cols, names=["block", "anchor", "node", *names])
+                anchors = own[row] ^ masks[at]
+                key = anchors if len(blocks) == 1 else mix64(anchors + mix64(np.full(1, number + 1, dtype=np.uint64)))
+                table = pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[row]), pa.array(own[row].view(np.int64))], names=["key", "node", "block"])
                 for a in range(0, len(row), 50_000):
                     yield table.slice(a, 50_000)
 
-    posted = nodes.select("node", *names).mapInArrow(post, T.StructType([T.StructField("block", T.IntegerType()), T.StructField("anchor", T.LongType()), T.StructField("node", T.LongType()), *(T.StructField(n, T.LongType()) for n in names)]))
+    return nodes.select("node", *(f"w{k}" for k in range(words))).mapInArrow(run, "key long, node long, block long")
 
-    def compare(batches):
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        block, anchor, node = (table.column(k).to_numpy() for k in range(3))
-        w = np.stack([table.column(3 + k).to_numpy().view(np.uint64) for k in range(words)], axis=1)
-        order = np.lexsort((node, anchor, block))
-        block, anchor, node, w = block[order], anchor[order], node[order], w[order]
-        new = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (anchor[1:] != anchor[:-1])])
-        size = np.diff(np.r_[new, len(node)])
-        found: set[tuple[int, int]] = set()
-        two = new[size == 2]
-        if len(two):
-            shift = block[two] * block_bits
-            mask = np.uint64((1 << block_bits) - 1)
-            x, y = ((w[two + d, shift // 64] >> (shift % 64).astype(np.uint64)) & mask for d in (0, 1))
-            near = (np.bitwise_count(x ^ y) <= block_limit) & (np.bitwise_count(w[two] ^ w[two + 1]).astype(np.int16).sum(axis=1) <= limit)
-            found.update(zip(node[two + 1][near].tolist(), node[two][near].tolist(), strict=True))
-        for at, n in zip(new[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            found.update(local_stars(node[at : at + n], w[at : at + n], int(block[at]) * block_bits, block_bits, block_limit, limit))
-        pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return posted.repartition("block", "anchor").mapInArrow(compare, "a long, b long").distinct()
+def anchor_edges(nodes: DataFrame, words: int, block_bits: int, block_limit: int, limit: int) -> DataFrame:
+    """Edges (a, b), a > b, between the nodes of linked fingerprints, found at common anchors.
+
+    If a fingerprint is more than one block, the whole fingerprints are only fetched for the rows that have a
+    near block at their anchor.
+    """
+    at_anchor = post(nodes, words, block_bits, block_limit).repartition("key")
+    if words * 64 == block_bits:
+        return at_anchor.mapInArrow(_stars(min(block_limit, limit), 1), "a long, b long").distinct()
+    near = at_anchor.mapInArrow(_near_rows(block_limit), "key long, node long")
+    names = [f"w{k}" for k in range(words)]
+    whole = near.join(nodes.select("node", *names), "node").select("key", "node", *names).repartition("key")
+    return whole.mapInArrow(_stars(limit, words), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -223,9 +252,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 3, words: int = 1, block_bits: int = 64, block_limit: int = 2, limit: int = 2) -> DataFrame:
     """doc_id, w0.., component_id for every row.
 
-    Fingerprints of `words` x 64 bits are linked if some block of `block_bits` bits differs in at
-    most `block_limit` bits and the whole in at most `limit`. With one word, 64-bit blocks and equal
-    limits that is: at most `limit` differing bits.
+    Fingerprints of `words` x 64 bits are linked if they differ in at most `limit` bits and some block of
+    `block_bits` bits in at most `block_limit`. With one word and one block the smaller limit counts.
+
+    For word shingles with similarity J the cosine of the sets is 2J / (1 + J), and each bit differs with
+    probability acos(that) / pi: 0.15 at 0.8. WIDE has parameters for that: 256 bits, at most 40 differing,
+    found through eight blocks.
     """
     names = [f"w{k}" for k in range(words)]
     prints = cut(fingerprints(docs, width, words))
