@@ -15,7 +15,7 @@ the README.
 
 Defined results: vectors that are null, zero or have null or non-finite components take no part, nor do those
 whose number of components isn't the most frequent one, or whose vec_id is null; rows with the same vec_id as the
-query aren't candidates; equal cosines go to the smaller vec_id; an empty table gives no rows.
+query aren't candidates; of rows with one vec_id the best counts; equal cosines go to the smaller vec_id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -118,4 +118,5 @@ def search(vectors: DataFrame, is_query, k: int = 5, pivots: int = PIVOTS, poste
 
     found = rows.unionByName(asked).groupBy("block", "query_block").applyInArrow(find, RESULT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -34,6 +34,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the id written as text, modulo a small number."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

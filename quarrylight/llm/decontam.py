@@ -121,11 +121,13 @@ def segments(docs: DataFrame, filter_bits: tuple[np.ndarray, int], masks: tuple[
                     whole = at + len(mask) <= bounds[doc + 1]
                     hits.append(np.stack([at[whole], hashes[at[whole]].view(np.int64), doc[whole], at[whole] + len(mask)]))
                 at, seed, doc, end = np.concatenate(hits, axis=1)
+                if not len(at):
+                    continue
                 order = np.lexsort((seed, at))
                 at, seed, doc, end = at[order], seed[order], doc[order], end[order]
                 low = np.maximum(at - context, bounds[doc])
                 high = np.minimum(end + context, bounds[doc + 1])
-                new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (low[1:] > np.maximum.accumulate(high)[:-1])]) if len(at) else []
+                new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (low[1:] > np.maximum.accumulate(high)[:-1])])
                 for a, b in zip(new, [*new[1:], len(at)], strict=True):
                     first, last = int(low[a:b].min()), int(high[a:b].max())
                     out.append((ids[int(doc[a])], first - int(bounds[doc[a]]), words[first:last].view(np.int64).tolist(), seed[a:b].tolist(), (at[a:b] - first).tolist()))

@@ -20,8 +20,8 @@ many rows there as it has different successors in a partition; the joins that ha
 are plain equi-joins, which Spark can split where they are skewed.
 
 Defined results: a null text stays null and has no lines; a text all of whose lines go becomes empty;
-rows with equal doc_id and equal text count as one document, and all of them are changed alike; an
-empty table gives no rows; other columns pass through.
+rows with equal doc_id and equal text count as one document, and all of them are changed alike; rows with a
+null doc_id take no part and stay as they are; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quarrylight.llm.common import cut
+from quarrylight.llm.common import cut, free_name
 
 _BLANK = b" \t\r\v\f"
 _DOC = ("doc_id", "text_hash")
@@ -137,13 +137,16 @@ def later_copies(docs: DataFrame, min_words: int) -> DataFrame:
     return later.groupBy(*_DOC).agg(F.collect_set(F.struct("first_line", "last_line")).alias("ranges"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """The documents with later copies of repeated runs taken out of `text`, and lines_removed (long)."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("lines_removed", T.LongType())])
+def dedup_lines(docs: DataFrame, min_words: int = 8, name: str = "lines_removed") -> DataFrame:
+    """The documents with later copies of repeated runs taken out of `text`, and how many lines went (long).
+    A column of that name is replaced."""
+    docs = docs.drop(name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     removals = cut(later_copies(hashed, min_words))
-    named = removals.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("ranges").alias("_ranges"))
-    joined = docs.join(named, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left").select(*docs.columns, "_ranges")
+    own_id, own_hash, ranges = (free_name(docs, n) for n in ("removal_id", "removal_hash", "removal_ranges"))
+    named = removals.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("ranges").alias(ranges))
+    joined = docs.join(named, (F.col("doc_id") == F.col(own_id)) & (F.xxhash64("text") == F.col(own_hash)), "left").select(*docs.columns, ranges)
     text_at = docs.columns.index("text")
 
     def run(batches):

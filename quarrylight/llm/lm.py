@@ -7,16 +7,16 @@ automaton, each history seen in training is a state; a seen n-gram is an arc tha
 log10 P(w | h); the failure arc to the state of h' carries log10(k / (c(h) + k)). One traversal
 from left to right carries the state, takes an arc or fails until one is there, and adds the weights.
 
-No machine holds the model. Documents are dealt into blocks by a hash of doc_id. A block sends the
-sorted hashes of its distinct n-grams, with its training counts, to buckets by hash; a bucket adds up the
-counts of all blocks and answers each block with the totals of what it asked for. Hashes travel as one
-binary value for each block and bucket, in the order in which the answer comes back. From the answers
-each block builds the automaton of its own n-grams, which is all that its documents can visit, with weights
-that come from the whole corpus. What is gathered grows in proportion to the corpus, and a frequent n-gram
-costs one entry for each block however often it occurs.
+No machine holds the model. Documents are packed into blocks of about four megabytes, which are kept compressed. A
+block sends the sorted hashes of its distinct n-grams, with its training counts, to buckets by hash; a bucket adds
+up the counts of all blocks and answers each block with the totals of what it asked for. Hashes travel as one binary
+value for each block and bucket, in the order in which the answer comes back. From the answers each block builds
+the automaton of its own n-grams, which is all that its documents can visit, with weights that come from the whole
+corpus. What is gathered grows in proportion to the corpus, and a frequent n-gram costs one entry for each block
+however often it occurs.
 
-Words are runs of bytes other than ASCII white space, A-Z lower-cased, and are known by 64-bit hashes;
-each document ends with one end token. Histories don't reach across documents.
+Words are runs of bytes other than ASCII white space, A-Z lower-cased, and are known by 64-bit hashes; longer n-grams
+by 48 bits of theirs beside the number of their bucket. Each document ends with one end token. Histories don't reach across documents.
 
 Defined results: a null or empty text is the end token alone; repeated rows are scored each and counted
 each in training; an empty table gives no rows; other columns are ignored; without training rows all
@@ -29,8 +29,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylight.llm.common import SPACED, cut, mix64, word_hashes
 
@@ -40,8 +43,8 @@ ADD, CONCENTRATION = 0.1, 4.0
 _KEYS = mix64(np.arange(101, 110, dtype=np.uint64)) | np.uint64(1)
 
 
-def tokens_of(text: str | None) -> np.ndarray:
-    words, _ = word_hashes((text or "").encode(), SPACED)
+def tokens_of(text: bytes) -> np.ndarray:
+    words, _ = word_hashes(text, SPACED)
     return np.r_[words, END].astype(np.uint64)
 
 
@@ -91,6 +94,39 @@ def unsmall(data: bytes, n: int) -> np.ndarray:
     return counts
 
 
+def short(hashes: np.ndarray, n: int) -> bytes:
+    """Words' hashes in full, those of longer n-grams as their lower six bytes; their bucket tells of the upper ones."""
+    whole = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return whole[:, : 6 if n else 8].tobytes()
+
+
+def unshort(data, n: int) -> np.ndarray:
+    width = 6 if n else 8
+    whole = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    whole[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return whole.view("<u8").ravel()
+
+
+BLOCK = T.StructType(
+    [
+        T.StructField("block", T.LongType()),
+        T.StructField("doc_id", T.ArrayType(T.LongType())),
+        T.StructField("held_out", T.ArrayType(T.BooleanType())),
+        T.StructField("sizes", T.ArrayType(T.LongType())),
+        T.StructField("texts", T.BinaryType()),
+        T.StructField("size", T.LongType()),
+    ]
+)
+
+
+def unpack(batch):
+    """The tokens of the documents of each block in a batch."""
+    for sizes, texts in zip(batch.column("sizes").to_pylist(), batch.column("texts"), strict=True):
+        raw = zstandard.decompress(texts.as_py())
+        ends = np.cumsum(sizes).tolist()
+        yield [tokens_of(raw[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
+
+
 class Automaton:
     """The backoff automaton of a block's n-grams.
 
@@ -149,35 +185,57 @@ class Automaton:
 def score(docs: DataFrame, order: int = 2, concentration: float = CONCENTRATION, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Score each row of docs (doc_id, text, held_out); rows with held_out false are the training rows."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    blocks, buckets = 1 + size // block_bytes, 1 + size // bucket_bytes
-    blocked = texts.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(17)), F.lit(blocks)).cast("int"))
-
-    def ask(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        documents = [tokens_of(t.as_py()) for t in table.column("text")]
-        grams = Grams(documents, order)
-        training = np.repeat(~table.column("held_out").to_numpy(), [len(d) for d in documents])
-        rows = []
-        for n, (hashes, at) in enumerate(zip(grams.hashes, grams.at, strict=True)):
-            counts = np.bincount(at[training & (at >= 0)], minlength=len(hashes))
-            bounds = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(bounds)).tolist():
-                part = slice(bounds[b], bounds[b + 1])
-                rows.append((b, block, n, hashes[part].astype("<u8").tobytes(), small(counts[part])))
-        cols = zip(*rows, strict=True)
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "n", "hashes", "counts"])
 
-    asked = blocked.groupBy("block").applyInArrow(ask, "bucket int, block int, n int, hashes binary, counts binary")
+    def pack(batches):
+        part, number = TaskContext.get().partitionId(), 0
+        rows: list[tuple] = []
+        held = 0
+
+        def block():
+            raw = b"".join(r[2] for r in rows)
+            values = ((part << 32) | number, [r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], zstandard.compress(raw), len(raw) + len(rows))
+            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=BLOCK.names)
+
+        for batch in batches:
+            for doc_id, text, out in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                rows.append((doc_id, out, (text.as_py() or "").encode()))
+                held += len(rows[-1][2])
+                if held >= block_bytes:
+                    yield block()
+                    rows, held, number = [], 0, number + 1
+        if rows:
+            yield block()
+
+    packed = cut(texts.mapInArrow(pack, BLOCK))
+    size = packed.agg(F.sum("size")).first()[0] or 0
+    buckets = 1 + size // bucket_bytes
+
+    def ask(batches):
+        for batch in batches:
+            for block, held_out, documents in zip(batch.column("block").to_pylist(), batch.column("held_out"), unpack(batch), strict=True):
+                grams = Grams(documents, order)
+                training = np.repeat(~held_out.values.to_numpy(zero_copy_only=False), [len(d) for d in documents])
+                rows = []
+                for n, (hashes, at) in enumerate(zip(grams.hashes, grams.at, strict=True)):
+                    counts = np.bincount(at[training & (at >= 0)], minlength=len(hashes))
+                    bounds = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
+                    for b in np.flatnonzero(np.diff(bounds)).tolist():
+                        part = slice(bounds[b], bounds[b + 1])
+                        rows.append((b, block, n, short(hashes[part], n), small(counts[part])))
+                cols = zip(*rows, strict=True)
+                types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["bucket", "block", "n", "hashes", "counts"])
+
+    asked = packed.mapInArrow(ask, "bucket int, block long, n int, hashes binary, counts binary")
 
     def answer(table: pa.Table) -> pa.Table:
         rows = []
         for n in range(order):
-            own = [(b, np.frombuffer(h.as_buffer(), "<u8"), c.as_py()) for b, k, h, c in zip(table.column("block").to_pylist(), table.column("n").to_pylist(), table.column("hashes"), table.column("counts"), strict=True) if k == n]
+            own = [(b, unshort(h.as_buffer(), n), c.as_py()) for b, k, h, c in zip(table.column("block").to_pylist(), table.column("n").to_pylist(), table.column("hashes"), table.column("counts"), strict=True) if k == n]
             if not own:
                 continue
-            hashes = np.concatenate([h for _, h, _ in own])
-            distinct, place = np.unique(hashes, return_inverse=True)
+            distinct, place = np.unique(np.concatenate([h for _, h, _ in own]), return_inverse=True)
             totals = np.bincount(place, np.concatenate([unsmall(c, len(h)) for _, h, c in own]), minlength=len(distinct)).astype(np.int64)
             if n == 0:
                 rows.append((-1, n, 0, b"", int(totals.sum()), int((totals > 0).sum())))
@@ -186,16 +244,16 @@ def score(docs: DataFrame, order: int = 2, concentration: float = CONCENTRATION,
                 rows.append((block, n, table.column("bucket")[0].as_py(), small(totals[place[at : at + len(h)]]), len(h), 0))
                 at += len(h)
         cols = zip(*rows, strict=True)
-        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
         return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["block", "n", "bucket", "totals", "size", "distinct"])
 
-    answered = cut(asked.groupBy("bucket").applyInArrow(answer, "block int, n int, bucket int, totals binary, size long, distinct long"))
+    answered = cut(asked.groupBy("bucket").applyInArrow(answer, "block long, n int, bucket int, totals binary, size long, distinct long"))
     sums = answered.filter("block = -1").agg(F.sum("size").alias("n"), F.sum("distinct").alias("v")).first()
     total, vocabulary = sums["n"] or 0, sums["v"] or 0
     floor = math.log10(total + ADD * (vocabulary + 1))
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        documents = [tokens_of(t.as_py()) for t in table.column("text")]
+        documents = next(unpack(table.combine_chunks().to_batches()[0]))
         sizes = [len(d) for d in documents]
         grams = Grams(documents, order)
         del documents
@@ -210,8 +268,8 @@ def score(docs: DataFrame, order: int = 2, concentration: float = CONCENTRATION,
         scores = [automaton.traverse(grams.at[0][a : a + n].tolist()) for a, n in zip(grams.begin.tolist(), sizes, strict=True)]
         return pa.table(
             {
-                "doc_id": table.column("doc_id"),
-                "held_out": table.column("held_out"),
+                "doc_id": table.column("doc_id")[0].values,
+                "held_out": table.column("held_out")[0].values,
                 "n_tokens": pa.array(sizes, pa.int64()),
                 "n_known": pa.array(known),
                 "train_tokens": pa.array([total] * len(sizes), pa.int64()),
@@ -221,4 +279,4 @@ def score(docs: DataFrame, order: int = 2, concentration: float = CONCENTRATION,
         )
 
     answers = answered.filter("block >= 0")
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -42,14 +42,26 @@ PIECES = T.StructType(
 )
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: printable Latin-1 stands for
+    itself, the other bytes for the characters from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)}
+
+
 class UnitEncoder(dict):
     """Token ids of a text as little-endian 32-bit bytes, with a cache of frequent units.
 
     The tokenizer always starts a new token at a space that stands between two characters
-    that are no white space, so a text can be cut there and the parts looked up one by one.
+    that are no white space, so a text can be cut there and the parts looked up one by one. The same
+    holds between a letter and the punctuation marks after it, and around a line feed between two
+    characters that are no white space. A run of letters, with or without a space before it, is one
+    piece for the merges, so its ids come from the merge model alone; anything else is encoded in full.
     """
 
-    LIMIT, LONGEST = 200_000, 48
+    LIMIT, LONGEST = 300_000, 48
+    MARKS = ".,!?;:|*$%#&"
     _between = re.compile(r"(?<=\S) (?=\S)")
     _odd = re.compile(r"\s | \s|^ | $")
 
@@ -58,12 +70,22 @@ class UnitEncoder(dict):
 
         super().__init__()
         self.encoder = Tokenizer.from_file(path)
-
-    def _ids(self, text: str) -> bytes:
-        return np.asarray(self.encoder.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.model = self.encoder.model
+        self.letters = byte_letters()
+
+    def _ids(self, unit: str) -> bytes:
+        if "\n" in unit:
+            lines = unit.split("\n")
+            if all(x and not x[-1].isspace() for x in lines) and not any(x[0].isspace() for x in lines[1:]):
+                return self["\n"].join([self[x] for x in lines])
+        elif unit[-1] in self.MARKS and (word := unit.rstrip(self.MARKS)) and word[-1].isalpha():
+            return self[word] + self[unit[len(word) :]]
+        elif (unit[1:] if unit[0] == " " else unit).isalpha():
+            return np.asarray([t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))], dtype="<u4").tobytes()
+        return np.asarray(self.encoder.encode(unit, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, unit: str) -> bytes:
-        ids = self._ids(unit)
+        ids = self._ids(unit) if unit else b""
         if len(unit) <= self.LONGEST:
             if len(self) >= self.LIMIT:
                 self.clear()
@@ -88,6 +110,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
     def run(batches):
         encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, UnitEncoder(tokenizer_path))
+        encoder.clear()  # workers outlive tasks, and idle ones should hold no more than the vocabulary
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -101,6 +124,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             columns = list(zip(*out, strict=True)) or [()] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=PIECES.names)
+        encoder.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 

@@ -167,12 +167,13 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     return learn(rows, share, settings)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], settings: Settings | None = None) -> DataFrame:
-    """doc_id and score, the probability of label 1, for every row; other columns are kept."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], settings: Settings | None = None, name: str = "score") -> DataFrame:
+    """The rows with `name`, the probability of label 1; a column of that name is replaced, all others are kept."""
     settings = settings or Settings()
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text_at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):
         weights, bias = shared.value
