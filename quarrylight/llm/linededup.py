@@ -12,8 +12,9 @@ ranks mean equal runs of 2^(k+1) lines. A run of any length between is named by
 two overlapping runs that cover it. A longest-common-prefix interval of the suffix array, the suffixes
 that share their first n lines, is the group of one such name. Every line of a maximal repeated run
 lies in a shortest sufficient run that begins or ends at a given line, so these are the depths at which
-intervals are needed: no more than `min_words` lines, whatever the length of the documents, and
-log2(min_words) rounds. Together the later members of all intervals make up the maximal runs.
+intervals are needed, with pairs of lines that have blank lines between: no more than `min_words` lines (two at
+least), whatever the length of the documents, and log2(min_words) rounds. Together the later members of all intervals
+make up the maximal runs.
 
 A frequent line is one group in the sort. Its pairs are counted before the shuffle, so it costs as
 many rows there as it has different successors in a partition; the joins that hand ranks back to lines
@@ -83,7 +84,7 @@ def sorted_suffixes(lines: DataFrame, depth: int) -> DataFrame:
     kept = lines.join(order_of_keys(keys), "key").select(*_DOC, "pos", "line_no", "words", F.array("rank").alias("ranks"))
     current = cut(kept.withColumn("island", island))
     along = Window.partitionBy(*_DOC, "island").orderBy("pos")
-    for k in range(math.ceil(math.log2(depth)) if depth > 1 else 0):
+    for k in range(max(1, math.ceil(math.log2(depth)))):
         here = F.element_at("ranks", -1)
         paired = current.withColumn("r1", here).withColumn("r2", F.coalesce(F.lead(here, 1 << k).over(along), F.lit(-1)))
         pairs = paired.groupBy("r1", "r2").agg(F.count("*").alias("n"))
@@ -93,7 +94,7 @@ def sorted_suffixes(lines: DataFrame, depth: int) -> DataFrame:
 
 
 def sufficient_runs(suffixes: DataFrame, min_words: int) -> DataFrame:
-    """The shortest runs with `min_words` words that begin or end at each line, named by depth and two ranks."""
+    """The shortest runs with `min_words` words that begin or end at each line or span blank lines, named by depth and two ranks."""
     line = F.struct("pos", "line_no", "words", "ranks")
     islands = suffixes.groupBy(*_DOC, "island").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     arrays = islands.select(*_DOC, *(F.col(f"lines.{c}").alias(c) for c in ("pos", "line_no", "words")), F.flatten("lines.ranks").alias("ranks"))
@@ -113,7 +114,9 @@ def sufficient_runs(suffixes: DataFrame, min_words: int) -> DataFrame:
                 end = np.arange(1, n + 1)
                 start = np.searchsorted(total, total[1:] - min_words, side="right") - 1
                 backward = np.stack([start, end])[:, start >= 0]
-                a, b = np.unique(np.concatenate([forward, backward], axis=1), axis=1)
+                # two neighbours with blank lines between, which go if both are one run
+                pair = begin[:-1][(total[2:] - total[:-2] >= min_words) & (np.diff(number) > 1)]
+                a, b = np.unique(np.concatenate([forward, backward, np.stack([pair, pair + 2])], axis=1), axis=1)
                 size = b - a
                 level = np.floor(np.log2(size)).astype(np.int64)
                 same = np.ones(len(a), dtype=np.int64)

@@ -123,6 +123,9 @@ WITH raw AS (
   UNION
   SELECT a.doc_id, max(a.pos) AS a, b.pos AS b FROM placed AS a JOIN placed AS b
     ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.pos < a.pos + 8 AND b.upto - a.upto + a.w >= 8 GROUP BY a.doc_id, b.pos
+  UNION
+  SELECT a.doc_id, a.pos AS a, b.pos AS b FROM placed AS a JOIN placed AS b
+    ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.w + b.w >= 8
 ), told AS (
   SELECT s.doc_id, s.a, s.b, min(p.line_no) AS first_line, max(p.line_no) AS last_line, list(p.l ORDER BY p.pos) AS content
   FROM spans AS s JOIN placed AS p ON p.doc_id = s.doc_id AND p.pos BETWEEN s.a AND s.b GROUP BY ALL
