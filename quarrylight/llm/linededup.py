@@ -17,8 +17,8 @@ least), whatever the length of the documents, and log2(min_words) rounds. Togeth
 make up the maximal runs.
 
 A frequent line is one group in the sort. Its pairs are counted before the shuffle, so it costs as
-many rows there as it has different successors in a partition; the joins that hand ranks back to lines
-are plain equi-joins, which Spark can split where they are skewed.
+many rows there as it has different successors in a partition, and those are summed in 4096 ranges; the joins that
+hand ranks back to lines are plain equi-joins, which Spark can split where they are skewed.
 
 Defined results: a null text stays null and has no lines; a text all of whose lines go becomes empty;
 rows with equal doc_id and equal text count as one document, and all of them are changed alike; rows with a
@@ -74,12 +74,23 @@ def order_of_keys(keys: DataFrame) -> DataFrame:
     return bucketed.withColumn("inside", inside).join(F.broadcast(before), "bucket").select("key", (F.col("before") + F.col("inside")).alias("rank"))
 
 
+def order_of_pairs(pairs: DataFrame, shift: int) -> DataFrame:
+    """r1, r2, rank: r1 and the number of pairs with that r1 and a smaller r2. A frequent r1 is summed in ranges of r2."""
+    ranged = pairs.withColumn("range", F.shiftright("r2", shift))
+    sums = ranged.groupBy("r1", "range").agg(F.sum("n").alias("total"))
+    before = sums.select("r1", "range", (F.sum("total").over(Window.partitionBy("r1").orderBy("range")) - F.col("total")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("r1", "range").orderBy("r2")) - F.col("n")
+    return ranged.withColumn("inside", inside).join(before, ["r1", "range"]).select("r1", "r2", (F.col("r1") + F.col("before") + F.col("inside")).alias("rank"))
+
+
 def sorted_suffixes(lines: DataFrame, depth: int) -> DataFrame:
     """Lines that occur more than once, with their island and ranks[k]: the rank by the first 2^k lines.
 
     Ranks of suffixes that end within 2^k lines, at their island's end, are only equal if all they have is equal.
     """
     keys = cut(lines.select("key", *_DOC, "pos").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    lines_in_all = keys.agg(F.sum("n")).first()[0] or 0
+    shift = max(0, int(lines_in_all).bit_length() - 12)  # ranks in 4096 ranges
     island = F.col("pos") - F.row_number().over(Window.partitionBy(*_DOC).orderBy("pos"))
     kept = lines.join(order_of_keys(keys), "key").select(*_DOC, "pos", "line_no", "words", F.array("rank").alias("ranks"))
     current = cut(kept.withColumn("island", island))
@@ -88,7 +99,7 @@ def sorted_suffixes(lines: DataFrame, depth: int) -> DataFrame:
         here = F.element_at("ranks", -1)
         paired = current.withColumn("r1", here).withColumn("r2", F.coalesce(F.lead(here, 1 << k).over(along), F.lit(-1)))
         pairs = paired.groupBy("r1", "r2").agg(F.count("*").alias("n"))
-        refined = pairs.select("r1", "r2", (F.col("r1") + F.sum("n").over(Window.partitionBy("r1").orderBy("r2")) - F.col("n")).alias("rank"))
+        refined = order_of_pairs(pairs, shift)
         current = cut(paired.join(refined, ["r1", "r2"]).select(*_DOC, "pos", "line_no", "words", F.concat("ranks", F.array("rank")).alias("ranks"), "island"))
     return current
 
@@ -135,7 +146,8 @@ def later_copies(docs: DataFrame, min_words: int) -> DataFrame:
     runs = cut(sufficient_runs(sorted_suffixes(lines, min_words), min_words))
     interval = ["size", "head", "tail"]
     place = F.struct("doc_id", "text_hash", "pos")
-    intervals = runs.groupBy(*interval).agg(F.count("*").alias("members"), F.min(place).alias("first")).filter("members > 1").drop("members")
+    # Cut, so that both sides of the join come from an exchange and Spark can split the members of a large interval.
+    intervals = cut(runs.groupBy(*interval).agg(F.count("*").alias("members"), F.min(place).alias("first")).filter("members > 1").drop("members"))
     later = runs.join(intervals, interval).filter(place != F.col("first"))
     return later.groupBy(*_DOC).agg(F.collect_set(F.struct("first_line", "last_line")).alias("ranges"))
 
