@@ -486,8 +486,11 @@ def training_pages(sample: list[str], settings: Settings) -> list[Page]:
 def fit(pages: DataFrame, settings: Settings | None = None) -> dict[str, np.ndarray]:
     """Train the labeller; of `pages` it sees at most `sample_pages` rows."""
     settings = settings or Settings()
-    sample = pages.select("page_id", "html").filter("html is not null").orderBy(F.xxhash64("page_id"), "html").limit(settings.sample_pages)
-    return train(training_pages([r["html"] for r in sample.collect()], settings), settings)
+    hashed = pages.select(F.xxhash64("page_id", "html").alias("h"), "html").filter("html is not null")
+    # The hashes come first, so that whole pages come to the driver from those tasks only that hold a chosen one.
+    least = [r["h"] for r in hashed.select("h").orderBy("h").limit(settings.sample_pages).collect()]
+    sample = hashed.filter(F.col("h") <= least[-1]).groupBy("h").agg(F.first("html").alias("html")).collect() if least else []
+    return train(training_pages([r["html"] for r in sorted(sample)], settings), settings)
 
 
 def label_pages(parsed: list[list[Block]], model: dict[str, np.ndarray], settings: Settings, group: int = 64) -> list[np.ndarray]:
