@@ -44,7 +44,9 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def choose_pivots(vectors: DataFrame, count: int = PIVOTS) -> np.ndarray:
     """`count` different vectors, the first by a hash of their components, as unit vectors."""
-    rows = vectors.groupBy("vec").agg(F.lit(1).alias("one")).orderBy(F.xxhash64("vec"), "vec").limit(count).collect()
+    hashed = vectors.select(F.xxhash64("vec").alias("h"), "vec")
+    least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(count).collect()]  # only hashes are shuffled
+    rows = hashed.filter(F.col("h") <= least[-1]).groupBy("h").agg(F.min("vec").alias("vec")).orderBy("h").collect() if least else []
     pivots = np.array([r["vec"] for r in rows], dtype=np.float64)
     return pivots / np.linalg.norm(pivots, axis=1, keepdims=True) if len(rows) else pivots
 
