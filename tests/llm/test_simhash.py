@@ -89,6 +89,16 @@ def test_wide_fingerprints_find_similar_texts(spark):
     assert got == {i: i // 2 * 2 for i in range(120)}
 
 
+def test_large_groups_are_whole():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, size=(5, 2)).astype(np.uint64)
+    words = base[rng.integers(5, size=600)] ^ (np.uint64(1) << rng.integers(0, 12, size=(600, 2)).astype(np.uint64))
+    for limit in (1, 2, 4):
+        want = classes(list(range(600)), [int(a) << 64 | int(b) for a, b in words], limit)
+        got = dict(simhash.local_stars(np.arange(600), words, limit, step=7))
+        assert {n: got.get(n, n) for n in range(600)} == want
+
+
 def test_odd_rows(odd, nothing):
     got = [(r.doc_id, r.component_id, r.w0) for r in simhash.near_duplicates(odd).collect()]
     assert len(got) == 10 and {(c, w) for i, c, w in got if i in (2, 3, 4)} == {(2, 0)}
