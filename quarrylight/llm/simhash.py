@@ -20,7 +20,7 @@ columns are ignored; the smallest doc_id names a class, and rows with a null doc
 
 from __future__ import annotations
 
-from functools import partial
+from functools import lru_cache, partial
 from itertools import combinations
 
 import numpy as np
@@ -170,29 +170,48 @@ def _stars(limit: int, words: int):
     return run
 
 
-def _near_rows(limit: int):
-    """From rows (key, node, block) to those rows (key, node) that have another one of their key within the limit."""
+def _near_rows(limit: int, block_bits: int, block_limit: int):
+    """From rows (key, node, anchor and block) to those rows (key, node) that have another one of their key within the limit.
+
+    Two blocks meet at several anchors; only the smallest anchor that they have in common keeps them.
+    """
+    masks, begin = error_table(block_bits, 1 + -(-block_limit // 2))
+    low = np.uint64((1 << block_bits) - 1)
 
     def run(batches):
+        @lru_cache(maxsize=100_000)
+        def anchors(block: int) -> frozenset[int]:
+            s = int(syndrome_of(np.array([block], dtype=np.uint64), block_bits)[0])
+            return frozenset((masks[begin[s] : begin[s + 1]] ^ np.uint64(block)).tolist())
+
+        def first_here(x: int, y: int, anchor: int) -> bool:
+            return min(anchors(x) & anchors(y)) == anchor
+
         if (rows := _by_key(batches, 1)) is None:
             return
         key, node, w, new, size = rows
+        block, anchor = w[:, 0] & low, w[:, 0] >> np.uint64(block_bits)
         kept = np.zeros(len(node), dtype=bool)
         two = new[size == 2]
-        near = two[np.bitwise_count(w[two, 0] ^ w[two + 1, 0]) <= limit]
-        kept[near] = kept[near + 1] = True
+        for at in two[np.bitwise_count(block[two] ^ block[two + 1]) <= limit].tolist():
+            kept[at : at + 2] = first_here(int(block[at]), int(block[at + 1]), int(anchor[at]))
         for at, n in zip(new[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             # all lie close to the anchor, so there are few different blocks, however many rows
-            own, place, many = np.unique(w[at : at + n, 0], return_inverse=True, return_counts=True)
-            near = (distances(own[:, None], own[:, None]) <= limit).sum(axis=1) > 1
-            kept[at : at + n] = (near | (many > 1))[place]
+            own, place, many = np.unique(block[at : at + n], return_inverse=True, return_counts=True)
+            near = np.zeros(len(own), dtype=bool)
+            for x, y in zip(*np.nonzero(np.triu(distances(own[:, None], own[:, None]) <= limit)), strict=True):
+                if (x != y or many[x] > 1) and first_here(int(own[x]), int(own[y]), int(anchor[at])):
+                    near[[x, y]] = True
+            kept[at : at + n] = near[place]
         yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(node[kept])], names=["key", "node"])
 
     return run
 
 
 def post(nodes: DataFrame, words: int, block_bits: int, block_limit: int) -> DataFrame:
-    """key, node, block: each node at every anchor of each of its blocks."""
+    """key, node, block: each node at every anchor of each of its blocks; of several blocks the anchor stands above the block."""
+    if block_bits > 32 and words * 64 > block_bits:
+        raise ValueError("several blocks can have 32 bits each at most")
     masks, begin = error_table(block_bits, 1 + -(-block_limit // 2))
     blocks = [(w, s) for w in range(words) for s in range(0, 64, block_bits)]
 
@@ -207,7 +226,8 @@ def post(nodes: DataFrame, words: int, block_bits: int, block_limit: int) -> Dat
                 at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + begin[s][row]
                 anchors = own[row] ^ masks[at]
                 key = anchors if len(blocks) == 1 else mix64(anchors + mix64(np.full(1, number + 1, dtype=np.uint64)))
-                table = pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[row]), pa.array(own[row].view(np.int64))], names=["key", "node", "block"])
+                block = own[row] if len(blocks) == 1 else own[row] | (anchors << np.uint64(block_bits))
+                table = pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[row]), pa.array(block.view(np.int64))], names=["key", "node", "block"])
                 for a in range(0, len(row), 50_000):
                     yield table.slice(a, 50_000)
 
@@ -223,7 +243,7 @@ def anchor_edges(nodes: DataFrame, words: int, block_bits: int, block_limit: int
     at_anchor = post(nodes, posted or words, block_bits, block_limit).repartition("key")
     if words * 64 == block_bits:
         return at_anchor.mapInArrow(_stars(min(block_limit, limit), 1), "a long, b long").distinct()
-    near = at_anchor.mapInArrow(_near_rows(block_limit), "key long, node long")
+    near = at_anchor.mapInArrow(_near_rows(block_limit, block_bits, block_limit), "key long, node long")
     names = [f"w{k}" for k in range(words)]
     whole = near.join(nodes.select("node", *names), "node").select("key", "node", *names).repartition("key")
     return whole.mapInArrow(_stars(limit, words), "a long, b long").distinct()
