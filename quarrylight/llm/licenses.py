@@ -4,9 +4,9 @@ A small library holds licence notices as word sequences. Its words without the s
 licence words. In each file:
 
 1. the places of licence words are found, and the places of three fixed phrases (the base labels);
-2. of its licence words the ones with the highest IDF, counted over all files, are looked up in the
-   postings of the notices (word -> notice, place), and each match votes for the notice at one shift
-   between notice and file;
+2. every place of a key word is looked up in the postings of the notices (word -> notice, place), which
+   gives the notice at one shift between notice and file. The key word of a notice is its mandatory word with
+   the highest IDF, counted over all files, so a file with the notice always has it;
 3. a notice at a shift is accepted if every word of its mandatory key phrases stands where that shift
    puts it. Its coverage is the IDF-weighted share of the notice's licence words that stand in place.
 
@@ -58,7 +58,6 @@ NOTICES = [
 STOP_WORDS = "a and any are as by for in into is of or or that the this to under use with without work you may not be it either following met person".split()
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-LOOKED_UP = 8
 
 
 def _rare(words: list[str]) -> list[tuple[int, str]]:
@@ -138,7 +137,16 @@ def idf(found: DataFrame) -> tuple[dict[str, float], int]:
     return {r["word"]: math.log((n + 1) / (r["count"] + 1)) + 1e-3 for r in counts}, n
 
 
-def scan(docs: DataFrame, notices=NOTICES, looked_up: int = LOOKED_UP) -> DataFrame:
+def keys(rows: list[tuple], weight: dict[str, float]) -> list[tuple]:
+    """The postings (word, notice, place): the mandatory word of highest IDF of each notice, or all its words if none is mandatory.
+
+    A word that no file has is the rarest of all.
+    """
+    rarest = lambda must: max(must, key=lambda p: (weight.get(p[1], math.inf), -p[0]))
+    return [(w, n, i) for n, _, rare, must in rows for i, w in ([rarest(must)] if must else rare)]
+
+
+def scan(docs: DataFrame, notices=NOTICES) -> DataFrame:
     """One row per document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
     found = cut(licence_words(docs, notices).withColumn("row", F.monotonically_increasing_id()))
@@ -146,15 +154,14 @@ def scan(docs: DataFrame, notices=NOTICES, looked_up: int = LOOKED_UP) -> DataFr
     rows = notice_rows(notices)
     pair = "array<struct<place:int,word:string>>"
     library = spark.createDataFrame([(n, label, rare, must) for n, label, rare, must in rows], f"notice int, label string, rare {pair}, must {pair}")
-    postings = spark.createDataFrame([(w, n, i) for n, _, rare, _ in rows for i, w in rare], "word string, notice int, place int")
+    postings = spark.createDataFrame(keys(rows, weight), "word string, notice int, place int")
     entries = sorted(weight.items()) or [("", 0.0)]
     weights = F.create_map(*(F.lit(x) for kv in entries for x in kv))
     of = lambda w: F.coalesce(F.element_at(weights, w), F.lit(0.0))
 
     some = found.filter(F.size("hits") > 0).select("row", "hits")
-    by_idf = F.array_sort(F.transform(F.array_distinct(F.transform("hits", lambda h: h["word"])), lambda w: F.struct((-of(w)).alias("k"), w.alias("word"))))
-    looked = some.withColumn("rarest", F.transform(F.slice(by_idf, 1, looked_up), lambda s: s["word"]))
-    seen = looked.select("row", F.explode(F.filter("hits", lambda h: F.array_contains(F.col("rarest"), h["word"]))).alias("h"))
+    looked_up = sorted({w for w, _, _ in keys(rows, weight)})
+    seen = some.select("row", F.explode(F.filter("hits", lambda h: h["word"].isin(*looked_up))).alias("h"))
     shifts = seen.select("row", F.col("h.pos").alias("pos"), F.col("h.word").alias("word")).join(F.broadcast(postings), "word")
     votes = shifts.select("row", F.struct("notice", (F.col("pos") - F.col("place")).alias("shift")).alias("c"))
     candidates = votes.groupBy("row").agg(F.collect_set("c").alias("candidates"))

@@ -47,6 +47,25 @@ def test_notices(spark):
     assert [rows[n].score > 0 for n in range(len(texts))] == [True, True, True, True, False, False, True, False, False, False]
 
 
+def test_notices_with_many_rarer_words_beside_them(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. "
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    prose = "a charge or fee for the source, binary forms, domain, universal purpose and conditions of modification "
+    common = ["3 version license public general gnu licensed"] * 40  # so these words are the commonest
+    texts = [bsd + gpl, prose * 20 + gpl + prose, bsd, gpl, *common]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.labels for r in sorted(rows, key=lambda r: r.doc_id)][:5] == ["bsd,gpl-3", "gpl-3", "bsd", "gpl-3", ""]
+
+
+def test_every_notice_alone_and_among_all_others(spark):
+    notices = [(label, text) for label, text, _ in licenses.NOTICES]
+    texts = [text for _, text in notices] + [" x ".join(text for _, text in notices)]
+    rows = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for n, (label, _) in enumerate(notices):
+        assert label in rows[n].labels.split(","), label
+    assert rows[len(notices)].labels == ",".join(sorted({label for label, _ in notices}))
+
+
 def test_odd_rows(odd, nothing):
     rows = licenses.scan(odd).collect()
     assert len(rows) == 10 and all(r.score == 0 and r.labels == "" for r in rows)
