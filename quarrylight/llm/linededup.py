@@ -44,12 +44,19 @@ _DOC = ("doc_id", "text_hash")
 
 
 def line_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, pos (among lines that aren't blank), line_no, key (128-bit hash), words."""
+    """doc_id, text_hash, pos (among lines that aren't blank), line_no, key (128-bit hash), words.
+
+    Of rows with equal doc_id and text_hash only one in a batch is read; sorted_suffixes leaves one of the rest.
+    """
 
     def run(batches):
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
+            seen: set[tuple] = set()
             for doc_id, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if (doc_id, text_hash) in seen:
+                    continue
+                seen.add((doc_id, text_hash))
                 pos = 0
                 for number, line in enumerate((text.as_py() or "").encode().split(b"\n")):
                     if line := line.strip(_BLANK):
@@ -86,14 +93,17 @@ def order_of_pairs(pairs: DataFrame, shift: int) -> DataFrame:
 def sorted_suffixes(lines: DataFrame, depth: int) -> DataFrame:
     """Lines that occur more than once, with their island and ranks[k]: the rank by the first 2^k lines.
 
-    Ranks of suffixes that end within 2^k lines, at their island's end, are only equal if all they have is equal.
+    Lines of a repeated document are counted with it, so some that stand in no other document are kept with the
+    rest; of a repeated document each line is kept once. Ranks of suffixes that end within 2^k lines, at their island's end, are only equal if all they have is equal.
     """
     keys = cut(lines.select("key", *_DOC, "pos").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     lines_in_all = keys.agg(F.sum("n")).first()[0] or 0
     shift = max(0, int(lines_in_all).bit_length() - 12)  # ranks in 4096 ranges
-    island = F.col("pos") - F.row_number().over(Window.partitionBy(*_DOC).orderBy("pos"))
+    inside = Window.partitionBy(*_DOC).orderBy("pos")
+    island = F.col("pos") - F.dense_rank().over(inside)
+    repeat = F.coalesce(F.lag("pos").over(inside) == F.col("pos"), F.lit(False))
     kept = lines.join(order_of_keys(keys), "key").select(*_DOC, "pos", "line_no", "words", F.array("rank").alias("ranks"))
-    current = cut(kept.withColumn("island", island))
+    current = cut(kept.withColumn("island", island).withColumn("repeat", repeat).filter(~F.col("repeat")).drop("repeat"))
     along = Window.partitionBy(*_DOC, "island").orderBy("pos")
     for k in range(max(1, math.ceil(math.log2(depth)))):
         here = F.element_at("ranks", -1)

@@ -53,6 +53,22 @@ def test_random_runs(spark):
         assert run(spark, rows, min_words) == brute(rows, min_words)
 
 
+def test_repeated_documents(spark):
+    passage = "one two three\nfour five six\nseven eight nine"
+    rows = [
+        (1, f"own start\n{passage}\nown end"),
+        (2, f"another start\n{passage}\nanother end\n{passage}"),
+        (3, passage),
+        (4, "lone line\nonly in this document\nand in its repeats\nwith these lines"),
+    ]
+    for again in ([2], [1], [1, 2, 4], [1, 1, 2, 3, 4]):
+        assert run(spark, rows + [rows[n - 1] for n in again], 8) == brute(rows, 8), again
+    other = (1, f"{passage}\nwith the same id")
+    out = linededup.dedup_lines(spark.createDataFrame([*rows, other, other, rows[0]], "doc_id long, text string").repartition(5))
+    assert sorted(r.lines_removed for r in out.collect() if r.doc_id == 1) == [0, 0, 3, 3]
+    assert {r.doc_id: r.lines_removed for r in out.collect() if r.doc_id != 1} == {2: 6, 3: 3, 4: 0}
+
+
 def test_ranks_sort_suffixes(spark):
     frame = spark.createDataFrame([(1, "a\nb\na\nb\nc\na\nb\nc"), (2, "a\nb\nc")], "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) AS text_hash", "text")
     rows = linededup.sorted_suffixes(linededup.line_ids(frame), 4).collect()
