@@ -4,8 +4,9 @@ A bounded sample of the vectors serves as pivots. A vector is represented by its
 in order, and is posted with its position under each of them in the pivots' inverted files. Vectors are dealt into
 blocks, each with its own inverted files. A query goes to every block: it reads the files of its own nearest
 pivots there, adds up the footrule distance (the sum of differences between positions, where a pivot that isn't
-posted has the position after the last), and the `rerank` share of the block (1024 rows at least) that is nearest by footrule, ties
-included, is ranked again by exact cosine. The best of all blocks are merged.
+posted has the position after the last), and the `rerank` share of the block's vec_ids (1024 at least) that is nearest by footrule, ties
+included, is ranked again by exact cosine. A vec_id stands in one block, with its nearest row, and takes one place. The best of all
+blocks are merged.
 
 With pivot positions i and j of a common pivot, the footrule falls by 2 (posted - max(i, j)) from its value for
 disjoint lists, so one pass over the files gives it for the whole block.
@@ -107,13 +108,16 @@ def search(vectors: DataFrame, is_query, k: int = 5, pivots: int = PIVOTS, poste
         if len(own) and len(q_ids):
             vec = np.ascontiguousarray(vec[~is_q])
             norms = np.sqrt((vec * vec).sum(axis=1))
-            wanted = min(len(own), max(LEAST, int(np.ceil(rerank * len(own)))))
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])  # rows with one vec_id stand together
+            wanted = min(len(starts), max(LEAST, int(np.ceil(rerank * len(starts)))))
             for query_id, query, gain in zip(q_ids.tolist(), q_vec, footrule_gains(perm[~is_q], q_perm, n_pivots), strict=True):
                 gain[own == query_id] = -1
-                edge = np.partition(gain, len(gain) - wanted)[len(gain) - wanted]
+                best_gain = np.maximum.reduceat(gain, starts)
+                edge = np.partition(best_gain, len(starts) - wanted)[len(starts) - wanted]
                 near = np.flatnonzero((gain >= edge) & (gain >= 0))
                 score = cosines(vec[near], norms[near], query)
-                best = np.lexsort((own[near], -score))[:k]
+                order = np.lexsort((own[near], -score))
+                best = order[np.sort(np.unique(own[near][order], return_index=True)[1])[:k]]  # the best row of each vec_id
                 out += [(query_id, int(own[near[b]]), float(score[b])) for b in best]
         cols = list(zip(*out, strict=True)) or [()] * 3
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])

@@ -46,6 +46,17 @@ def test_odd_vectors(spark):
     assert ann.search(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_repeated_candidates(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, np.float32(rng.normal(size=8)).tolist()) for i in range(300)]
+    frame = spark.createDataFrame(rows * 3, "vec_id long, embedding array<float>")
+    assert found(ann.search(frame, F.col("vec_id") % 50 == 0)) == exact(rows)
+    crowd = [(1000, [1.0, 0.001 * i, 0.0]) for i in range(3000)]  # one vec_id with more rows than are ranked again
+    few = [(0, [1.0, 0.0, 0.0]), *((i, [1.0, 0.0, float(i)]) for i in range(1, 7))]
+    got = found(ann.search(spark.createDataFrame(few + crowd, "vec_id long, embedding array<float>"), F.col("vec_id") == 0))
+    assert got == {0: [1000, 1, 2, 3, 4]}
+
+
 def test_many_equal_vectors(spark):
     rows = [(i, [1.0, 1.0, 0.0]) for i in range(3000)] + [(5000 + i, [float(i), 1.0, 2.0]) for i in range(300)]
     got = found(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 100))
