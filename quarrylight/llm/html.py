@@ -11,8 +11,8 @@ filled with words of a bounded sample of the given pages, and on those sampled p
 their blocks are.
 
 Defined results: null and empty html, and pages without main text, give an empty text; repeated rows are extracted
-each; an empty table gives no rows; other columns are ignored. Scripts, styles, templates, comments and the head are
-never blocks. White space inside a block becomes one space; blocks are joined by two line feeds.
+each; an empty table gives no rows; other columns are ignored. Scripts, styles, templates, titles, frames and comments
+are never blocks (without an end tag only the start tag is skipped); formulas, drawings and fallback contents are text like any other. White space inside a block becomes one space; blocks are joined by two line feeds.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ from quarrylight.llm.common import SPACED, word_hashes
 
 #: HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template title iframe object svg math canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+UNSEEN = frozenset("script style template title iframe".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark math noscript object q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr".split())
+#: Inside these all elements but those of HTML's own blocks are inline.
+FOREIGN = frozenset("math svg".split())
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 PARAGRAPH_ENDS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
@@ -54,7 +56,8 @@ def parse(page: str) -> list[Block]:
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     current: Block | None = None
-    links = 0
+    links = foreign = 0
+    unclosed: set[str] = set()
 
     def end_block():
         nonlocal current
@@ -75,13 +78,17 @@ def parse(page: str) -> list[Block]:
         if links:
             current.link_chars += len(text)
 
+    def inline(name: str) -> bool:
+        return name in INLINE or (foreign > 0 and name not in PARAGRAPH_ENDS and name not in CLOSES_ITSELF)
+
     def close(name: str):
-        nonlocal links
+        nonlocal links, foreign
         while stack:
             last = stack.pop()[0]
             links -= last == "a"
-            if last not in INLINE:
+            if not inline(last):
                 end_block()
+            foreign -= last in FOREIGN
             if last == name:
                 return
 
@@ -94,21 +101,26 @@ def parse(page: str) -> list[Block]:
             continue
         name = m[2].lower()
         if m[1]:
+            ends = not inline(name)
             if any(n == name for n, _ in stack):
                 close(name)
-            if name not in INLINE:
+            if ends:
                 end_block()
             continue
         if name in UNSEEN:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if name not in unclosed and not m[3].rstrip().endswith("/"):
+                if end := re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at):
+                    at = end.end()
+                else:
+                    unclosed.add(name)
             continue
-        if name == "br":
+        if name == "br" or (foreign and name in ("text", "tspan")):
             if current:
                 current.pieces.append(" ")
             continue
-        if name not in INLINE:
+        if not inline(name):
+            while foreign and not any(n in ("foreignobject", "annotation-xml") for n, _ in stack):
+                close(next(n for n, _ in reversed(stack) if n in FOREIGN))
             end_block()
             if name in PARAGRAPH_ENDS and any(n == "p" for n, _ in stack):
                 close("p")
@@ -119,6 +131,7 @@ def parse(page: str) -> list[Block]:
         words = [p for g in _NAMES.findall(m[3]) for p in _PARTS.findall("".join(g).lower())]
         stack.append((name, (name, *(f".{w}" for w in words))))
         links += name == "a"
+        foreign += name in FOREIGN
     if at < len(page):
         add(page[at:])
     end_block()

@@ -18,6 +18,21 @@ def test_blocks():
     assert [b.text for b in html.parse(page)] == ["One & two three four", "Five", "tail", "a", "x", "y", "b"]
 
 
+def test_formulas_drawings_and_fallbacks():
+    page = "<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold<p>See <svg viewBox='0 0 1 1'><path d='M0'/><g><text>axis</text><text>label</text></g></svg> here<div><object data=a><p>fallback</p></object><noscript>no script</noscript></div><canvas>drawn</canvas> end"
+    assert [b.text for b in html.parse(page)] == ["Let x=1 hold", "See axis label here", "fallback", "no script", "drawn end"]
+
+
+@pytest.mark.parametrize("name", "object svg math canvas noscript script style template title iframe".split())
+def test_elements_without_end_tag(model, name):
+    menu, article = "<nav><a>Home</a> <a>About us</a></nav>", "<article>" + "<p>The amber river ran slowly past the old stone mill, and maple leaves fell.</p>" * 4 + "</article>"
+    whole = [b.text for b in html.parse(f"<body>{menu}{article}</body>")]
+    blocks = html.parse(f"<body>{menu}<{name} x='1'>{article}</body>")
+    assert [b.text for b in blocks] == whole
+    kept = html.label_pages([blocks], model, SMALL)[0] >= 0.5
+    assert [b.text for b, k in zip(blocks, kept, strict=True) if k] == whole[-4:]
+
+
 @pytest.mark.parametrize("page", ["", "<", "< p", "<p", "<p class='x>never closed", "</p></div>text", "<!-- open", "<script>open", "&lt;b&gt; &#x41; &nosuch;", "<p>" * 500 + "deep", "<a " + "x='" * 300])
 def test_broken_pages(page):
     html.parse(page)
