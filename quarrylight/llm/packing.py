@@ -17,6 +17,7 @@ each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -50,57 +51,64 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)}
 
 
-class UnitEncoder(dict):
-    """Token ids of a text as little-endian 32-bit bytes, with a cache of frequent units.
+#: Fixed value: how byte-level vocabularies cut a text before they merge.
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    The tokenizer always starts a new token at a space that stands between two characters
-    that are no white space, so a text can be cut there and the parts looked up one by one. The same
-    holds between a letter and the punctuation marks after it, and around a line feed between two
-    characters that are no white space. A run of letters, with or without a space before it, is one
-    piece for the merges, so its ids come from the merge model alone; anything else is encoded in full.
+
+class Encoder:
+    """Token ids of a text, as little-endian 32-bit bytes, of a `tokenizers` file.
+
+    If the file is a plain byte-level vocabulary whose ids are in the order of its merges, tiktoken runs these same
+    merges in a third of the time (the tests compare the ids). Texts that hold the string of a special token or a very
+    long run of white space, and other kinds of files, go to tokenizers itself.
     """
 
-    LIMIT, LONGEST = 300_000, 48
-    MARKS = ".,!?;:|*$%#&"
-    _between = re.compile(r"(?<=\S) (?=\S)")
-    _odd = re.compile(r"\s | \s|^ | $")
+    _long_gap = re.compile(r"\s{1000}")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.encoder = Tokenizer.from_file(path)
-        self.model = self.encoder.model
-        self.letters = byte_letters()
-
-    def _ids(self, unit: str) -> bytes:
-        if "\n" in unit:
-            lines = unit.split("\n")
-            if all(x and not x[-1].isspace() for x in lines) and not any(x[0].isspace() for x in lines[1:]):
-                return self["\n"].join([self[x] for x in lines])
-        elif unit[-1] in self.MARKS and (word := unit.rstrip(self.MARKS)) and word[-1].isalpha():
-            return self[word] + self[unit[len(word) :]]
-        elif (unit[1:] if unit[0] == " " else unit).isalpha():
-            return np.asarray([t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))], dtype="<u4").tobytes()
-        return np.asarray(self.encoder.encode(unit, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = self._ids(unit) if unit else b""
-        if len(unit) <= self.LONGEST:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[unit] = ids
-        return ids
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.special = [t["content"] for t in told.get("added_tokens") or []]
+        self.merging = _merging(told, self.special)
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = self._between.split(text) if self._odd.search(text) else text.split(" ")
-        head = self[parts[0]]
-        return head + b"".join([self[" " + p] for p in parts[1:]])
-
-
-_encoders: dict[str, UnitEncoder] = {}
+        if self.merging and not self._long_gap.search(text) and not any(s in text for s in self.special):
+            return self.merging.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def _merging(told: dict, special: list[str]):
+    """The merges of a plain byte-level file as a tiktoken encoding; None if the file is of another kind."""
+    import tiktoken
+
+    model, before = told["model"], told.get("pre_tokenizer") or {}
+    plain = (
+        model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+        and before.get("type") == "ByteLevel"
+        and not before.get("add_prefix_space")
+        and before.get("use_regex", True)
+        and not told.get("normalizer")
+        and not told.get("truncation")
+        and "" not in special
+    )
+    if not plain:
+        return None
+    made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    merged = [model["vocab"][m] for m in made]
+    byte_of = {letter: b for b, letter in byte_letters().items()}
+    tokens = {token: number for token, number in model["vocab"].items() if token not in special}
+    single = [number for token, number in tokens.items() if len(token) == 1]
+    if merged != sorted(set(merged)) or len(single) != 256 or (merged and max(single) > merged[0]) or len(tokens) != 256 + len(merged) or not set("".join(tokens)) <= set(byte_of):
+        return None
+    ranks = {bytes(byte_of[x] for x in token): number for token, number in tokens.items()}
+    return tiktoken.Encoding("own", pat_str=CUTS, mergeable_ranks=ranks, special_tokens={})
+
+
+_encoders: dict[str, Encoder] = {}
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -109,8 +117,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, UnitEncoder(tokenizer_path))
-        encoder.clear()  # workers outlive tasks, and idle ones should hold no more than the vocabulary
+        encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, Encoder(tokenizer_path))
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -124,7 +131,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             columns = list(zip(*out, strict=True)) or [()] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=PIECES.names)
-        encoder.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
@@ -140,6 +146,8 @@ def reduce_dominated(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int,
       * no two others fit together: the largest partner that fits;
       * no three others fit together, and the largest fitting partner is at least as large as
         the largest fitting pair: that partner.
+    All but the first two stay true when items are taken away, as long as the partner has others of its size, so bins are
+    fixed in multiples: each time until the items of one of the two sizes are used up.
     """
     fixed: list[tuple[tuple[int, ...], int]] = []
 
@@ -169,11 +177,8 @@ def reduce_dominated(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int,
                 counts[size] += 1
                 if not best:
                     fix((size,), int(counts[size]))
-                elif len(smallest) < 2 or smallest[0] + smallest[1] > room:
-                    many = int(counts[size]) // 2 if best == size else int(min(counts[size], counts[best]))
-                    fix((size, best), 1 if best in smallest else many)
-                elif (len(smallest) < 3 or sum(smallest) > room) and best >= _best_pair(counts, size, room):
-                    fix((size, best), 1)
+                elif len(smallest) < 2 or smallest[0] + smallest[1] > room or ((len(smallest) < 3 or sum(smallest) > room) and best >= _best_pair(counts, size, room)):
+                    fix((size, best), int(counts[size]) // 2 if best == size else int(min(counts[size], counts[best])))
                 else:
                     break
                 changed = True
