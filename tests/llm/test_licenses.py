@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 from quarrylight.llm import licenses
@@ -15,6 +17,53 @@ def base(text):
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def words_of(text):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+
+
+def brute(texts, notices):
+    """labels and score of each text, trying every notice at every shift."""
+    split = [words_of(t) for t in texts]
+    weight = lambda w: math.log((len(texts) + 1) / (sum(w in s for s in split) + 1)) + 1e-3
+    out = []
+    for t, words in zip(texts, split, strict=True):
+        n_base, labels, best = base(t)[1], set(filter(None, base(t)[4].split(","))), 0.0
+        for label, text, phrases in notices:
+            own = text.split()
+            must = {i for p in phrases for at in [next(i for i in range(len(own)) if own[i : i + len(p.split())] == p.split())] for i in range(at, at + len(p.split())) if own[i] not in licenses.STOP_WORDS}
+            rare = [i for i, w in enumerate(own) if w not in licenses.STOP_WORDS]
+            stands = lambda i, shift: 0 <= shift + i < len(words) and words[shift + i] == own[i]  # noqa: E731, B023
+            for shift in range(-len(own), len(words)):
+                if all(stands(i, shift) for i in must):
+                    labels.add(label)
+                    best = max(best, sum(weight(own[i]) for i in rare if stands(i, shift)) / sum(weight(own[i]) for i in rare))
+        out.append((",".join(sorted(labels)), 1.0 if n_base else best))
+    return out
+
+
+def test_against_brute_force(spark):
+    """Whole notices, damaged ones, and licence words in any order."""
+    rng = random.Random(3)
+    pool = sorted(licenses.vocabulary()) + licenses.STOP_WORDS + ["other", "words"]
+    texts = []
+    for label, text, _ in licenses.NOTICES:
+        damaged = [w if rng.random() > 0.1 else rng.choice(pool) for w in text.split()]
+        texts += [text, " ".join(damaged), " ".join([rng.choice(pool) for _ in range(8)] + text.split() + damaged)]
+    texts += [" ".join(rng.choice(pool) for _ in range(80)) for _ in range(30)]
+    texts += [" / ".join(rng.sample([t for _, t, _ in licenses.NOTICES], 6)).title() for _ in range(20)]
+    rows = sorted(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
+    for r, (labels, score), text in zip(rows, brute(texts, licenses.NOTICES), texts, strict=True):
+        assert r.labels == labels, text
+        assert abs(r.score - score) < 1e-9, text
+
+
+def test_very_long_texts_of_licence_words(spark):
+    texts = ["public license " * 100_000, "under the mit license " * 50_000, "gnu general public license version " * 40_000 + "3", "permission is hereby granted " * 50_000]
+    rows = sorted(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_words, r.n_base, r.labels) for r in rows] == [(200_000, 0, ""), (200_000, 50_000, "mit"), (200_001, 0, "gpl-3"), (200_000, 0, "")]
+
+
 def told(r):
     return r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels
 
@@ -63,6 +112,7 @@ def test_every_notice_alone_and_among_all_others(spark):
     rows = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     for n, (label, _) in enumerate(notices):
         assert label in rows[n].labels.split(","), label
+        assert rows[n].score > 1 - 1e-9
     assert rows[len(notices)].labels == ",".join(sorted({label for label, _ in notices}))
 
 
@@ -74,5 +124,6 @@ def test_odd_rows(odd, nothing):
 
 
 def test_no_python_on_the_executors(small_docs):
-    found = licenses.licence_words(small_docs)
-    assert "Python" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for frame in (licenses.licence_words(small_docs), licenses.scan(small_docs)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString() + frame._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "InArrow", "InPandas", "Exchange"))
