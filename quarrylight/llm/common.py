@@ -83,8 +83,8 @@ _PART = 1 << 20
 def word_hashes(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of a byte string, and their start offsets.
 
-    Each byte is looked up in a random table by its place in the word; the sum, mixed with
-    the word's length, is the hash. Equal words have equal hashes wherever they stand. Long data
+    Each byte is looked up in a random table by its place in the word (beyond 1024 bytes the table's numbers are multiplied,
+    by another odd number for each further 1024); the sum, mixed with the word's length, is the hash. Equal words have equal hashes wherever they stand. Long data
     is taken in parts of about a megabyte that end between words.
     """
     raw = table[np.frombuffer(data, dtype=np.uint8)]
@@ -113,7 +113,11 @@ def _hashes_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     place = np.arange(len(chars)) - np.repeat(first, lengths)
-    sums = np.add.reduceat(_TABULATION[(place % _DEPTH) * 256 + chars], first)
+    numbers = _TABULATION[(place % _DEPTH) * 256 + chars]
+    if lengths.max() > _DEPTH:
+        far = place >= _DEPTH
+        numbers[far] *= mix64((place[far] // _DEPTH).astype(np.uint64)) | np.uint64(1)
+    sums = np.add.reduceat(numbers, first)
     return mix64(sums + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), starts
 
 

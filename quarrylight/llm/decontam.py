@@ -8,17 +8,19 @@ an item if some window of the item stands in it with few enough substituted word
 
     item of 16 words or more: any 16 consecutive words, at most 3 substituted
     12 to 15 words: the whole item, at most 2;  8 to 11 words: the whole item, at most 1
+    1 to 7 words: the whole item as it is
 
 The four masks are lossless for these bounds: however the substitutions lie, at least one mask
-hits inside the window (a test goes through all of them). Items under 8 words are no evidence and
-are not looked for.
+hits inside the window (a test goes through all of them). Items under 8 words have one mask, which ignores nothing; it is
+only used if there are items of that length. Such a short phrase is weak evidence, and the column `window` tells it.
 
 To keep the documents' hashes out of the shuffle, executors first test them against a bitmap of
 the benchmark's hashes, whose size has a fixed bound; false hits of the bitmap only make rows that
 the join drops. Neighbouring hits of a document become one segment with the words around them, and
-equal segments, as copies have them, are verified once.
+equal segments, as copies have them, are verified once. All shifts between a segment and an item are verified together, so
+a repetitive text is laid beside an item once.
 
-Defined results: null and empty texts hold nothing; repeated rows of one doc_id are reported once;
+Defined results: null and empty texts and items without words hold nothing; repeated rows of one key are reported once;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -38,7 +40,7 @@ _BITS_MAX = 28
 
 def allowed(window: int) -> int:
     """Substitutions allowed in a window of so many words."""
-    return 3 if window >= 16 else 2 if window >= 12 else 1
+    return 3 if window >= 16 else 2 if window >= 12 else 1 if window >= SHORTEST else 0
 
 
 _KEYS = mix64(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
@@ -60,7 +62,12 @@ def _slots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes >> np.uint64(64 - bits), hashes & np.uint64((1 << bits) - 1)
 
 
-def item_seeds(items: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
+def masks_of(words: int) -> list[tuple[int, str]]:
+    """The masks, with their numbers, that look for an item of so many words."""
+    return list(enumerate(MASKS)) if words >= SHORTEST else [(len(MASKS) + words, "1" * words)]
+
+
+def item_seeds(items: DataFrame) -> DataFrame:
     """item_id, words (hashes), and each masked hash with its place."""
 
     def run(batches):
@@ -68,9 +75,9 @@ def item_seeds(items: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
             out = []
             for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words, _ = word_hashes((text.as_py() or "").encode(), ALNUM)
-                if len(words) < SHORTEST:
+                if not len(words):
                     continue
-                seeds = [masked_hashes(words, m, k) for k, m in enumerate(masks)]
+                seeds = [masked_hashes(words, m, k) for k, m in masks_of(len(words))]
                 places = np.concatenate([np.arange(len(s)) for s in seeds])
                 out.append((item_id, words.view(np.int64).tolist(), np.concatenate(seeds).view(np.int64).tolist(), places.tolist()))
             cols = list(zip(*out, strict=True)) or [()] * 4
@@ -95,8 +102,8 @@ def bitmap(seeds: DataFrame) -> tuple[np.ndarray, int]:
     return out.view(np.uint8), bits
 
 
-def segments(docs: DataFrame, filter_bits: tuple[np.ndarray, int], masks: tuple[str, ...] = MASKS, context: int = WINDOW) -> DataFrame:
-    """doc_id, start and words of each stretch around possible hits, with the hits' hashes and places in it."""
+def segments(docs: DataFrame, filter_bits: tuple[np.ndarray, int], masks: list[tuple[int, str]], keys: tuple[str, ...] = ("doc_id",), context: int = WINDOW) -> DataFrame:
+    """The keys, start and words of each stretch around possible hits, with the hits' hashes and places in it."""
     shared = docs.sparkSession.sparkContext.broadcast(filter_bits)
 
     def run(batches):
@@ -107,12 +114,12 @@ def segments(docs: DataFrame, filter_bits: tuple[np.ndarray, int], masks: tuple[
 
         for batch in batches:
             out = []
-            for ids, data in chunks(batch.column(0).to_pylist(), batch.column(1)):
+            for rows, data in chunks(range(batch.num_rows), batch.column(0)):
                 words, starts = word_hashes(b"\n".join(data), ALNUM)
                 ends = np.cumsum([len(d) + 1 for d in data])
                 bounds = np.r_[0, np.searchsorted(starts, ends)]  # of each text's words
-                hits = []
-                for k, mask in enumerate(masks):
+                hits = [np.empty((4, 0), dtype=np.int64)]
+                for k, mask in masks:
                     hashes = masked_hashes(words, mask, k)
                     high, low = _slots(hashes, bits)
                     at = np.flatnonzero(holds(high))
@@ -130,15 +137,16 @@ def segments(docs: DataFrame, filter_bits: tuple[np.ndarray, int], masks: tuple[
                 new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (low[1:] > np.maximum.accumulate(high)[:-1])])
                 for a, b in zip(new, [*new[1:], len(at)], strict=True):
                     first, last = int(low[a:b].min()), int(high[a:b].max())
-                    out.append((ids[int(doc[a])], first - int(bounds[doc[a]]), words[first:last].view(np.int64).tolist(), seed[a:b].tolist(), (at[a:b] - first).tolist()))
+                    out.append((rows[int(doc[a])], first - int(bounds[doc[a]]), words[first:last].view(np.int64).tolist(), seed[a:b].tolist(), (at[a:b] - first).tolist()))
             cols = list(zip(*out, strict=True)) or [()] * 5
+            found = pa.array(cols[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in cols[2:])],
-                names=["doc_id", "start", "words", "seeds", "places"],
+                [*(c.take(found) for c in batch.columns[1:]), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in cols[2:])],
+                names=[*keys, "start", "words", "seeds", "places"],
             )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, start long, words array<long>, seeds array<long>, places array<long>")
+    texts = docs.select(F.col("text").cast("string").alias("text"), *(F.col(k).cast("long").alias(k) for k in keys))
+    return texts.mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", start long, words array<long>, seeds array<long>, places array<long>")
 
 
 def best_window(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int] | None:
@@ -153,33 +161,35 @@ def best_window(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int,
     return (int(wrong[k]), low + k) if wrong[k] <= allowed(window) else None
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row for each document and item that it holds, with the best window: fewest substitutions,
-    then first in the document, then first in the item. Columns doc_id, item_id, substitutions,
-    doc_start and item_start (in words from 0), window (words)."""
+    then first in the document, then first in the item. Columns: the keys (whole numbers that name a document), item_id,
+    substitutions, doc_start and item_start (in words from 0), window (words)."""
     seeded = cut(item_seeds(items))
+    lengths = [r["n"] for r in seeded.select(F.least(F.size("words"), F.lit(SHORTEST)).alias("n")).distinct().orderBy("n").collect()]  # at most 8
     seeds = seeded.select("item_id", F.explode(F.arrays_zip("seeds", "places")).alias("z")).select("item_id", F.col("z.seeds").alias("seed"), F.col("z.places").alias("item_place"))
-    found = cut(segments(docs, bitmap(seeds)).withColumn("segment", F.xxhash64("words", "seeds", "places")))
+    found = cut(segments(docs, bitmap(seeds), [m for n in lengths for m in masks_of(n)], keys).withColumn("segment", F.xxhash64("words", "seeds", "places")))
     contents = found.groupBy("segment").agg(F.first("words").alias("words"), F.first("seeds").alias("seeds"), F.first("places").alias("places"))
     hits = contents.select("segment", F.explode(F.arrays_zip("seeds", "places")).alias("z")).select("segment", F.col("z.seeds").alias("seed"), F.col("z.places").alias("place"))
-    shifts = hits.join(seeds, "seed").select("segment", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+    shifts = hits.join(seeds, "seed").groupBy("segment", "item_id").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("shifts"))
     laid = shifts.join(contents.select("segment", "words"), "segment").join(seeded.select("item_id", F.col("words").alias("item")), "item_id")
 
     def verify(batches):
         for batch in batches:
             out = []
-            for segment, item_id, shift, doc, item in zip(*(batch.column(k) for k in range(5)), strict=True):
-                item_words = item.values.to_numpy()
-                if best := best_window(doc.values.to_numpy(), item_words, shift.as_py()):
-                    out.append((segment.as_py(), item_id.as_py(), best[0], best[1] + shift.as_py(), best[1], min(len(item_words), WINDOW)))
+            for segment, item_id, shifts, doc, item in zip(*(batch.column(k) for k in range(5)), strict=True):
+                item_words, doc_words = item.values.to_numpy(), doc.values.to_numpy()
+                windows = ((best[0], shift + best[1], best[1]) for shift in shifts.as_py() if (best := best_window(doc_words, item_words, shift)))
+                if first := min(windows, default=None):
+                    out.append((segment.as_py(), item_id.as_py(), *first, min(len(item_words), WINDOW)))
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["segment", "item_id", "substitutions", "place", "item_start", "window"])
 
-    verified = laid.select("segment", "item_id", "shift", "words", "item").mapInArrow(verify, "segment long, item_id long, substitutions long, place long, item_start long, window long")
+    verified = laid.select("segment", "item_id", "shifts", "words", "item").mapInArrow(verify, "segment long, item_id long, substitutions long, place long, item_start long, window long")
     best = verified.groupBy("segment", "item_id").agg(F.min(F.struct("substitutions", "place", "item_start", "window")).alias("w"))
-    placed = found.select("segment", "doc_id", "start").join(best, "segment")
+    placed = found.select("segment", *keys, "start").join(best, "segment")
     return (
-        placed.groupBy("doc_id", "item_id")
+        placed.groupBy(*keys, "item_id")
         .agg(F.min(F.struct(F.col("w.substitutions"), (F.col("start") + F.col("w.place")).alias("doc_start"), F.col("w.item_start"), F.col("w.window"))).alias("w"))
-        .select("doc_id", "item_id", "w.substitutions", "w.doc_start", "w.item_start", "w.window")
+        .select(*keys, "item_id", "w.substitutions", "w.doc_start", "w.item_start", "w.window")
     )

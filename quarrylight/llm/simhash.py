@@ -8,6 +8,10 @@ fingerprint goes to every anchor that near, and links are looked for at each anc
 64-bit blocks and t = 2 that is 33 anchors, and an anchor can get no more than the 2081
 blocks within distance 2 of it.
 
+Fingerprints of several words are cut into several blocks. Blocks of 32 bits of unrelated texts meet by chance (529 of
+2^32 are near), so a word of the fingerprint that isn't posted travels with each block, and only rows that agree in most of
+its bits go on: the whole fingerprints are fetched for one chance meeting in a hundred.
+
 Equal fingerprints are one class from the start, and an anchor reports a star for each group
 that it finds instead of all pairs, so rows stay in proportion to the number of documents.
 Classes are joined by rounds of large-star and small-star on the edges, each cut with a
@@ -15,7 +19,8 @@ checkpoint.
 
 Defined results: a null or empty text, or one of white space only, has fingerprint zero and is
 linked like any other; repeated rows are equal fingerprints; an empty table gives no rows; other
-columns are ignored; the smallest doc_id names a class, and rows with a null doc_id stay alone.
+columns are ignored; the smallest doc_id names a class, and rows with a null doc_id stay alone. Different texts with one
+doc_id are different members: each row has the class of its own text.
 """
 
 from __future__ import annotations
@@ -34,7 +39,11 @@ from quarrylight.llm.common import cut, mix64
 
 SEED = 42
 #: Five-word shingles at a similarity of about 0.8 or more.
-WIDE = {"width": 5, "words": 16, "posted": 8, "block_bits": 32, "block_limit": 2, "limit": 172}
+WIDE = {"width": 5, "words": 16, "posted": 10, "block_bits": 32, "block_limit": 2, "limit": 172}
+#: Bits of the word beside a block in which two rows may differ. Links of 172 bits in 1024 differ in more than that once in
+#: 5,000 times, unrelated rows in 99 of 100.
+BESIDE_LIMIT = 22
+_NODE_BITS = 53
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -69,8 +78,8 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts.ravel() > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, words: int = 1) -> DataFrame:
-    """doc_id and w0, w1, ...: 64-bit words as signed longs. Words after the first come from remixed hashes."""
+def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep, and w0, w1, ...: 64-bit words as signed longs. Words after the first come from remixed hashes."""
     names = [f"w{k}" for k in range(words)]
 
     def run(batches):
@@ -80,10 +89,10 @@ def fingerprints(docs: DataFrame, width: int = 3, words: int = 1) -> DataFrame:
                 hashes = shingle_hashes(text.as_py(), width)
                 for k in range(words):
                     out[k, row] = majority(hashes if k == 0 else mix64(hashes + np.uint64((k * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in out)], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *(pa.array(x.view(np.int64)) for x in out)], names=["doc_id", *keep, *names])
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(n, T.LongType()) for n in names)])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *(docs.schema[c] for c in keep), *(T.StructField(n, T.LongType()) for n in names)])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep).mapInArrow(run, schema)
 
 
 def error_table(block_bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,9 +180,10 @@ def _stars(limit: int, words: int):
 
 
 def _near_rows(limit: int, block_bits: int, block_limit: int):
-    """From rows (key, node, anchor and block) to those rows (key, node) that have another one of their key within the limit.
+    """From rows (key, node with place, beside) to those rows (key, node) that have another one of their key within the limits.
 
-    Two blocks meet at several anchors; only the smallest anchor that they have in common keeps them.
+    Two blocks meet at several anchors; only the smallest anchor that they have in common keeps them. A key with very
+    many rows keeps all with near blocks, whatever stands beside them; the whole fingerprints decide in any case.
     """
     masks, begin = error_table(block_bits, 1 + -(-block_limit // 2))
     low = np.uint64((1 << block_bits) - 1)
@@ -190,26 +200,39 @@ def _near_rows(limit: int, block_bits: int, block_limit: int):
         if (rows := _by_key(batches, 1)) is None:
             return
         key, node, w, new, size = rows
-        block, anchor = w[:, 0] & low, w[:, 0] >> np.uint64(block_bits)
+        anchor, beside = key.view(np.uint64) & low, w[:, 0]
+        block = anchor ^ masks[node >> _NODE_BITS]
         kept = np.zeros(len(node), dtype=bool)
         two = new[size == 2]
-        for at in two[np.bitwise_count(block[two] ^ block[two + 1]) <= limit].tolist():
+        close = (np.bitwise_count(block[two] ^ block[two + 1]) <= limit) & (np.bitwise_count(beside[two] ^ beside[two + 1]) <= BESIDE_LIMIT)
+        for at in two[close].tolist():
             kept[at : at + 2] = first_here(int(block[at]), int(block[at + 1]), int(anchor[at]))
         for at, n in zip(new[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            own = block[at : at + n]
+            if n <= 256:
+                near = np.triu((distances(own[:, None], own[:, None]) <= limit) & (distances(beside[at : at + n, None], beside[at : at + n, None]) <= BESIDE_LIMIT), 1)
+                for x, y in zip(*np.nonzero(near), strict=True):
+                    if not (kept[at + x] and kept[at + y]) and first_here(int(own[x]), int(own[y]), int(anchor[at])):
+                        kept[[at + x, at + y]] = True
+                continue
             # all lie close to the anchor, so there are few different blocks, however many rows
-            own, place, many = np.unique(block[at : at + n], return_inverse=True, return_counts=True)
+            own, place, many = np.unique(own, return_inverse=True, return_counts=True)
             near = np.zeros(len(own), dtype=bool)
             for x, y in zip(*np.nonzero(np.triu(distances(own[:, None], own[:, None]) <= limit)), strict=True):
                 if (x != y or many[x] > 1) and first_here(int(own[x]), int(own[y]), int(anchor[at])):
                     near[[x, y]] = True
             kept[at : at + n] = near[place]
-        yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(node[kept])], names=["key", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(node[kept] & ((1 << _NODE_BITS) - 1))], names=["key", "node"])
 
     return run
 
 
-def post(nodes: DataFrame, words: int, block_bits: int, block_limit: int) -> DataFrame:
-    """key, node, block: each node at every anchor of each of its blocks; of several blocks the anchor stands above the block."""
+def post(nodes: DataFrame, words: int, block_bits: int, block_limit: int, beside: str | None = None) -> DataFrame:
+    """key, node, block: each node (0 to 2^53) at every anchor of each of its blocks.
+
+    Of several blocks the key is the block's number above the anchor, the node has the number of its error word above it
+    (anchor and error word give the block), and the column `beside` takes the block's place.
+    """
     if block_bits > 32 and words * 64 > block_bits:
         raise ValueError("several blocks can have 32 bits each at most")
     masks, begin = error_table(block_bits, 1 + -(-block_limit // 2))
@@ -224,25 +247,29 @@ def post(nodes: DataFrame, words: int, block_bits: int, block_limit: int) -> Dat
                 many = begin[s + 1] - begin[s]
                 row = np.repeat(np.arange(len(own)), many)
                 at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + begin[s][row]
-                anchors = own[row] ^ masks[at]
-                key = anchors if len(blocks) == 1 else mix64(anchors + mix64(np.full(1, number + 1, dtype=np.uint64)))
-                block = own[row] if len(blocks) == 1 else own[row] | (anchors << np.uint64(block_bits))
-                table = pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[row]), pa.array(block.view(np.int64))], names=["key", "node", "block"])
+                key, named, block = own[row] ^ masks[at], node[row], own.view(np.int64)[row]
+                if beside:
+                    key, named, block = key | np.uint64(number << 32), named | (at << _NODE_BITS), batch.column(1 + words).to_numpy()[row]
+                table = pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(named), pa.array(block)], names=["key", "node", "block"])
                 for a in range(0, len(row), 50_000):
                     yield table.slice(a, 50_000)
 
-    return nodes.select("node", *(f"w{k}" for k in range(words))).mapInArrow(run, "key long, node long, block long")
+    return nodes.select("node", *(f"w{k}" for k in range(words)), *([beside] if beside else [])).mapInArrow(run, "key long, node long, block long")
 
 
 def anchor_edges(nodes: DataFrame, words: int, block_bits: int, block_limit: int, limit: int, posted: int | None = None) -> DataFrame:
     """Edges (a, b), a > b, between the nodes of linked fingerprints, found at common anchors of their first `posted` words.
 
-    If a fingerprint is more than one block, the whole fingerprints are only fetched for the rows that have a
-    near block at their anchor.
+    If a fingerprint is more than one block, the word after the posted ones stands beside each block, and the whole
+    fingerprints are only fetched for the rows that have a near row at their anchor.
     """
-    at_anchor = post(nodes, posted or words, block_bits, block_limit).repartition("key")
     if words * 64 == block_bits:
+        at_anchor = post(nodes, words, block_bits, block_limit).repartition("key")
         return at_anchor.mapInArrow(_stars(min(block_limit, limit), 1), "a long, b long").distinct()
+    posted = posted or words - 1
+    if not 0 < posted < words:
+        raise ValueError("a word of the fingerprint stays beside the posted ones")
+    at_anchor = post(nodes, posted, block_bits, block_limit, f"w{posted}").repartition("key")
     near = at_anchor.mapInArrow(_near_rows(block_limit, block_bits, block_limit), "key long, node long")
     names = [f"w{k}" for k in range(words)]
     whole = near.join(nodes.select("node", *names), "node").select("key", "node", *names).repartition("key")
@@ -274,19 +301,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, words: int = 1, block_bits: int = 64, block_limit: int = 2, limit: int = 2, posted: int | None = None) -> DataFrame:
-    """doc_id, w0.., component_id for every row.
+def near_duplicates(docs: DataFrame, width: int = 3, words: int = 1, block_bits: int = 64, block_limit: int = 2, limit: int = 2, posted: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep, w0.., component_id and group_no for every row.
 
+    group_no tells classes apart also where different texts have one doc_id; its numbers change from run to run.
     Fingerprints of `words` x 64 bits are linked if they differ in at most `limit` bits and some block of
-    `block_bits` bits of the first `posted` words (all, if None) in at most `block_limit`. With one word and one block
+    `block_bits` bits of the first `posted` words (all but one, if None) in at most `block_limit`. With one word and one block
     the smaller limit counts.
 
     For word shingles with similarity J each bit differs with probability acos(2J / (1 + J)) / pi for equally long
-    texts: 0.148 at 0.8, or 151 of 1024 bits with a deviation of 11. WIDE allows 172; the measured recall is in the README.
+    texts: 0.151 at 0.8, or 155 of 1024 bits with a deviation of 11. WIDE allows 172; the measured recall is in the README.
     """
     names = [f"w{k}" for k in range(words)]
-    prints = cut(fingerprints(docs, width, words))
-    nodes = cut(prints.filter("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node")))
-    labels = components(anchor_edges(nodes, words, block_bits, block_limit, limit, posted))
-    named = nodes.join(labels, "node", "left").select(*names, F.coalesce("label", "node").alias("component_id"))
-    return prints.join(named, names, "left").select("doc_id", *names, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    prints = cut(fingerprints(docs, width, words, keep))
+    # A node is a fingerprint. Its number is made once, before the checkpoint.
+    nodes = cut(prints.filter("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    labels = cut(components(anchor_edges(nodes, words, block_bits, block_limit, limit, posted)))
+    members = labels.union(labels.select("label", "label").distinct()).join(nodes.select("node", "first"), "node")
+    ids = members.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = nodes.join(members.select("node", "label").join(ids, "label"), "node", "left").select(*names, F.coalesce("component_id", "first").alias("component_id"), F.coalesce("label", "node").alias("group_no"))
+    own = (F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("component_id", "group_no"))
+    return prints.join(named, names, "left").select("doc_id", *keep, *names, *own)

@@ -89,6 +89,38 @@ def test_wide_fingerprints_find_similar_texts(spark):
     assert got == {i: i // 2 * 2 for i in range(120)}
 
 
+def test_recall_of_near_copies(spark):
+    """Held-out pairs whose shingles are 0.8 to 0.95 similar: made here, not used to choose any parameter."""
+    rng = np.random.default_rng(77)
+    words = [f"w{n}" for n in range(3000)]
+    shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    rows, similar = [], []
+    while len(similar) < 300:
+        text = [words[k] for k in rng.integers(3000, size=int(rng.integers(60, 600)))]
+        other = list(text)
+        for at in rng.integers(len(text), size=int(rng.integers(1, max(2, len(text) // 40)))):
+            other[at : at + 1] = [[], ["new"], ["two", "new"]][int(rng.integers(3))]
+        a, b = shingles(text), shingles(other)
+        if 0.8 <= len(a & b) / len(a | b) <= 0.95:
+            n = 2 * len(similar)
+            rows += [(n, " ".join(text)), (n + 1, " ".join(other))]
+            similar.append(n)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **simhash.WIDE).collect()}
+    assert all(c // 2 == n // 2 for n, c in got.items())  # different texts stay apart
+    assert np.mean([got[n] == got[n + 1] for n in similar]) >= 0.9
+
+
+def test_different_texts_with_one_id(spark):
+    far, near = " ".join(f"aa{n}" for n in range(300)), " ".join(f"b{n}" for n in range(300))
+    rows = [(1, far), (1, near), (2, far + " x"), (3, near + " x"), (0, "alone")]
+    for settings in ({}, simhash.WIDE):
+        out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) AS n"), keep=("n",), **settings).collect()
+        got = {(r.doc_id, r.n): r.component_id for r in out}
+        assert len(got) == 5 and got[1, len(far)] == got[1, len(near)] == 1 and got[0, 5] == 0
+        if settings:
+            assert got[2, len(far) + 2] == got[3, len(near) + 2] == 1
+
+
 def test_large_groups_are_whole():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, size=(5, 2)).astype(np.uint64)
