@@ -48,22 +48,32 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return as_given(kept, given, docs)
 
 
+def with_hash(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a hash of the text; doc_id and hash together name a document, as ids may be given twice."""
+    name = free_name(docs, "text_hash")
+    return docs.withColumn(name, F.xxhash64("text")), name
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id; of repeated rows one."""
+    """One document of each group stays, that with the smallest doc_id (then the smallest hash); of repeated rows one."""
     own, given = with_ids(docs)
-    groups = simhash.near_duplicates(own, **simhash.WIDE)
-    first = cut(groups.filter("doc_id = component_id").groupBy("doc_id").count())
-    kept = own.join(first.select("doc_id"), "doc_id", "left_semi")
-    if not first.filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
+    own, text_hash = with_hash(own)
+    groups = simhash.near_duplicates(own, keep=(text_hash,), **simhash.WIDE)
+    members = groups.groupBy("group_no", "doc_id", text_hash).agg(F.count("*").alias("times"))
+    first = cut(members.groupBy("group_no").agg(F.min(F.struct("doc_id", text_hash, "times")).alias("first")).select("first.*"))
+    kept = own.join(first.select("doc_id", text_hash), ["doc_id", text_hash], "left_semi")
+    if not first.filter("times > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", text_hash])
     return as_given(kept, given, docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage of eight words or more go; a shorter phrase alone is no evidence."""
     own, given = with_ids(docs)
-    found = decontam.contaminated(own, read_table(spark, sf_dir, "benchmark"))
-    return as_given(own.join(found.select("doc_id").distinct(), "doc_id", "left_anti"), given, docs)
+    own, text_hash = with_hash(own)
+    found = decontam.contaminated(own, read_table(spark, sf_dir, "benchmark"), keys=("doc_id", text_hash))
+    leaks = found.filter(F.col("window") >= decontam.SHORTEST).select("doc_id", text_hash).distinct()
+    return as_given(own.join(leaks, ["doc_id", text_hash], "left_anti"), given, docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +88,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: A trained classifier, hashes and a tokenizer are beyond SQL; tests hold each stage against brute force.
+#: A trained classifier, hashes and a tokenizer are beyond SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
