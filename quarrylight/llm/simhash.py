@@ -10,7 +10,8 @@ blocks within distance 2 of it.
 
 Fingerprints of several words are cut into several blocks. Blocks of 32 bits of unrelated texts meet by chance (529 of
 2^32 are near), so a word of the fingerprint that isn't posted travels with each block, and only rows that agree in most of
-its bits go on: the whole fingerprints are fetched for one chance meeting in a hundred.
+its bits go on: the whole fingerprints are fetched for one chance meeting in a hundred. The blocks are posted in two rounds; in
+the second, rows whose nodes the first has already joined don't bring each other on, as their link would tell nothing new.
 
 Equal fingerprints are one class from the start, and an anchor reports a star for each group
 that it finds instead of all pairs, so rows stay in proportion to the number of documents.
@@ -44,6 +45,7 @@ WIDE = {"width": 5, "words": 16, "posted": 10, "block_bits": 32, "block_limit":
 #: 5,000 times, unrelated rows in 99 of 100.
 BESIDE_LIMIT = 22
 _NODE_BITS = 53
+_PAIRS = 1 << 25
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -180,10 +182,11 @@ def _stars(limit: int, words: int):
 
 
 def _near_rows(limit: int, block_bits: int, block_limit: int):
-    """From rows (key, node with place, beside) to those rows (key, node) that have another one of their key within the limits.
+    """From rows (key, node with place, beside, class so far or -1) to those rows (key, node) that have another one of their
+    key within the limits that isn't in the same class.
 
-    Two blocks meet at several anchors; only the smallest anchor that they have in common keeps them. A key with very
-    many rows keeps all with near blocks, whatever stands beside them; the whole fingerprints decide in any case.
+    Two blocks meet at several anchors; only the smallest anchor that they have in common keeps them. A key with more than 2^25 pairs to compare keeps
+    all rows with near blocks, whatever stands beside them; the whole fingerprints decide in any case.
     """
     masks, begin = error_table(block_bits, 1 + -(-block_limit // 2))
     low = np.uint64((1 << block_bits) - 1)
@@ -197,46 +200,63 @@ def _near_rows(limit: int, block_bits: int, block_limit: int):
         def first_here(x: int, y: int, anchor: int) -> bool:
             return min(anchors(x) & anchors(y)) == anchor
 
-        if (rows := _by_key(batches, 1)) is None:
+        if (rows := _by_key(batches, 2)) is None:
             return
         key, node, w, new, size = rows
-        anchor, beside = key.view(np.uint64) & low, w[:, 0]
+        anchor, beside, joined = key.view(np.uint64) & low, w[:, 0], w[:, 1].view(np.int64)
         block = anchor ^ masks[node >> _NODE_BITS]
         kept = np.zeros(len(node), dtype=bool)
         two = new[size == 2]
-        close = (np.bitwise_count(block[two] ^ block[two + 1]) <= limit) & (np.bitwise_count(beside[two] ^ beside[two + 1]) <= BESIDE_LIMIT)
+        close = (np.bitwise_count(block[two] ^ block[two + 1]) <= limit) & (np.bitwise_count(beside[two] ^ beside[two + 1]) <= BESIDE_LIMIT) & ((joined[two] != joined[two + 1]) | (joined[two] < 0))
         for at in two[close].tolist():
             kept[at : at + 2] = first_here(int(block[at]), int(block[at + 1]), int(anchor[at]))
         for at, n in zip(new[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            own = block[at : at + n]
+            own, of = block[at : at + n], joined[at : at + n]
             if n <= 256:
-                near = np.triu((distances(own[:, None], own[:, None]) <= limit) & (distances(beside[at : at + n, None], beside[at : at + n, None]) <= BESIDE_LIMIT), 1)
+                near = np.triu(((of[:, None] != of) | (of < 0)) & (distances(own[:, None], own[:, None]) <= limit) & (distances(beside[at : at + n, None], beside[at : at + n, None]) <= BESIDE_LIMIT), 1)
                 for x, y in zip(*np.nonzero(near), strict=True):
                     if not (kept[at + x] and kept[at + y]) and first_here(int(own[x]), int(own[y]), int(anchor[at])):
                         kept[[at + x, at + y]] = True
                 continue
-            # all lie close to the anchor, so there are few different blocks, however many rows
+            # All lie close to the anchor, so there are few different blocks, however many rows.
             own, place, many = np.unique(own, return_inverse=True, return_counts=True)
-            near = np.zeros(len(own), dtype=bool)
-            for x, y in zip(*np.nonzero(np.triu(distances(own[:, None], own[:, None]) <= limit)), strict=True):
-                if (x != y or many[x] > 1) and first_here(int(own[x]), int(own[y]), int(anchor[at])):
-                    near[[x, y]] = True
+            meet = np.triu(distances(own[:, None], own[:, None]) <= limit)
+            for x, y in zip(*np.nonzero(meet), strict=True):
+                meet[x, y] = (x != y or many[x] > 1) and first_here(int(own[x]), int(own[y]), int(anchor[at]))
+            meet |= meet.T
+            kinds, counts = np.unique(of, return_counts=True)
+            largest = kinds[counts.argmax()]
+            others = np.flatnonzero((of != largest) | (of < 0))
+            if len(others) * n <= _PAIRS:  # rows of the largest class only meet the others
+                for x in others.tolist():
+                    near = meet[place[x], place] & (np.bitwise_count(beside[at + x] ^ beside[at : at + n]) <= BESIDE_LIMIT) & ((of != of[x]) | (of < 0))
+                    near[x] = False
+                    if near.any():
+                        kept[at + x] = True
+                        kept[at : at + n] |= near
+                continue
+            least, most = np.full(len(own), np.iinfo(np.int64).max), np.full(len(own), -1)
+            np.minimum.at(least, place, of)
+            np.maximum.at(most, place, of)
+            apart = (least < 0) | (least != most)  # the block's rows aren't all in one class
+            near = (meet & (apart[:, None] | apart | (least[:, None] != least))).any(axis=0)
             kept[at : at + n] = near[place]
         yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(node[kept] & ((1 << _NODE_BITS) - 1))], names=["key", "node"])
 
     return run
 
 
-def post(nodes: DataFrame, words: int, block_bits: int, block_limit: int, beside: str | None = None) -> DataFrame:
-    """key, node, block: each node (0 to 2^53) at every anchor of each of its blocks.
+def post(nodes: DataFrame, names: list[str], block_bits: int, block_limit: int, beside: tuple[str, ...] = ()) -> DataFrame:
+    """key, node, block: each node (0 to 2^53) at every anchor of each block of the words with these names.
 
     Of several blocks the key is the block's number above the anchor, the node has the number of its error word above it
-    (anchor and error word give the block), and the column `beside` takes the block's place.
+    (anchor and error word give the block), and the columns `beside` take the block's place.
     """
-    if block_bits > 32 and words * 64 > block_bits:
+    if block_bits > 32 and beside:
         raise ValueError("several blocks can have 32 bits each at most")
     masks, begin = error_table(block_bits, 1 + -(-block_limit // 2))
-    blocks = [(w, s) for w in range(words) for s in range(0, 64, block_bits)]
+    blocks = [(w, s) for w in range(len(names)) for s in range(0, 64, block_bits)]
+    columns = ["key", "node", *(beside or ["block"])]
 
     def run(batches):
         for batch in batches:
@@ -247,33 +267,55 @@ def post(nodes: DataFrame, words: int, block_bits: int, block_limit: int, beside
                 many = begin[s + 1] - begin[s]
                 row = np.repeat(np.arange(len(own)), many)
                 at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + begin[s][row]
-                key, named, block = own[row] ^ masks[at], node[row], own.view(np.int64)[row]
+                key, named, rest = own[row] ^ masks[at], node[row], [own.view(np.int64)[row]]
                 if beside:
-                    key, named, block = key | np.uint64(number << 32), named | (at << _NODE_BITS), batch.column(1 + words).to_numpy()[row]
-                table = pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(named), pa.array(block)], names=["key", "node", "block"])
+                    key, named = key | np.uint64(number << 32), named | (at << _NODE_BITS)
+                    rest = [c.to_numpy()[row] for c in batch.columns[1 + len(names) :]]
+                table = pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), named, *rest)], names=columns)
                 for a in range(0, len(row), 50_000):
                     yield table.slice(a, 50_000)
 
-    return nodes.select("node", *(f"w{k}" for k in range(words)), *([beside] if beside else [])).mapInArrow(run, "key long, node long, block long")
+    return nodes.select("node", *names, *beside).mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+
 
+def anchor_edges(nodes: DataFrame, block_bits: int = 64, limit: int = 2) -> DataFrame:
+    """Edges (a, b), a > b, between the nodes of linked fingerprints of one block (w0), found at common anchors."""
+    at_anchor = post(nodes, ["w0"], block_bits, limit).repartition("key")
+    return at_anchor.mapInArrow(_stars(limit, 1), "a long, b long").distinct()
 
-def anchor_edges(nodes: DataFrame, words: int, block_bits: int, block_limit: int, limit: int, posted: int | None = None) -> DataFrame:
-    """Edges (a, b), a > b, between the nodes of linked fingerprints, found at common anchors of their first `posted` words.
 
-    If a fingerprint is more than one block, the word after the posted ones stands beside each block, and the whole
-    fingerprints are only fetched for the rows that have a near row at their anchor.
+def block_edges(nodes: DataFrame, words: int, posted: list[int], beside: int, block_bits: int, block_limit: int, limit: int) -> DataFrame:
+    """Edges (a, b), a > b, between the nodes of linked fingerprints with near blocks in the posted words.
+
+    The whole fingerprints are only fetched for the rows that have a near row at their anchor. `joined` of nodes is the
+    class that a node has already, or -1.
     """
+    names = [f"w{k}" for k in range(words)]
+    at_anchor = post(nodes, [names[k] for k in posted], block_bits, block_limit, (names[beside], "joined")).repartition("key")
+    near = at_anchor.mapInArrow(_near_rows(block_limit, block_bits, block_limit), "key long, node long")
+    whole = near.join(nodes.select("node", *names), "node").select("key", "node", *names).repartition("key")
+    return whole.mapInArrow(_stars(limit, words), "a long, b long").distinct()
+
+
+def classes(nodes: DataFrame, words: int, block_bits: int, block_limit: int, limit: int, posted: int | None = None) -> DataFrame:
+    """node, label: the smallest node of its class for each other node of a class of several."""
     if words * 64 == block_bits:
-        at_anchor = post(nodes, words, block_bits, block_limit).repartition("key")
-        return at_anchor.mapInArrow(_stars(min(block_limit, limit), 1), "a long, b long").distinct()
+        return components(anchor_edges(nodes, block_bits, min(block_limit, limit)))
     posted = posted or words - 1
     if not 0 < posted < words:
         raise ValueError("a word of the fingerprint stays beside the posted ones")
-    at_anchor = post(nodes, posted, block_bits, block_limit, f"w{posted}").repartition("key")
-    near = at_anchor.mapInArrow(_near_rows(block_limit, block_bits, block_limit), "key long, node long")
-    names = [f"w{k}" for k in range(words)]
-    whole = near.join(nodes.select("node", *names), "node").select("key", "node", *names).repartition("key")
-    return whole.mapInArrow(_stars(limit, words), "a long, b long").distinct()
+    labels = None
+    for part in np.split(np.arange(posted), [-(-posted // 5)]):  # a fifth joins most of what has many near copies
+        if not len(part):
+            continue
+        if labels is None:
+            edges = block_edges(nodes.withColumn("joined", F.lit(-1).cast("long")), words, part.tolist(), posted, block_bits, block_limit, limit)
+        else:
+            own = labels.select("node", F.col("label").alias("joined")).union(labels.select("label", "label").distinct())
+            known = nodes.join(own, "node", "left").na.fill({"joined": -1})
+            edges = block_edges(known, words, part.tolist(), posted, block_bits, block_limit, limit).union(labels)
+        labels = components(edges)
+    return labels
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -316,7 +358,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, words: int = 1, block_bits:
     prints = cut(fingerprints(docs, width, words, keep))
     # A node is a fingerprint. Its number is made once, before the checkpoint.
     nodes = cut(prints.filter("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
-    labels = cut(components(anchor_edges(nodes, words, block_bits, block_limit, limit, posted)))
+    labels = classes(nodes, words, block_bits, block_limit, limit, posted)
     members = labels.union(labels.select("label", "label").distinct()).join(nodes.select("node", "first"), "node")
     ids = members.groupBy("label").agg(F.min("first").alias("component_id"))
     named = nodes.join(members.select("node", "label").join(ids, "label"), "node", "left").select(*names, F.coalesce("component_id", "first").alias("component_id"), F.coalesce("label", "node").alias("group_no"))

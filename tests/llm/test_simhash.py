@@ -63,7 +63,7 @@ def test_links_by_distance(spark):
             prints.append(x ^ sum(1 << int(b) for b in rng.choice(64, size=d, replace=False)))
     signed = [(n, p - (1 << 64) if p >> 63 else p) for n, p in enumerate(prints)]
     nodes = spark.createDataFrame(signed, "node long, w0 long")
-    labels = {r.node: r.label for r in simhash.components(simhash.anchor_edges(nodes, 1, 64, 2, 2)).collect()}
+    labels = {r.node: r.label for r in simhash.components(simhash.anchor_edges(nodes, 64, 2)).collect()}
     want = classes(list(range(len(prints))), prints, 2)
     assert {n: labels.get(n, n) for n in want} == want
 
@@ -131,6 +131,19 @@ def test_large_groups_are_whole():
         assert {n: got.get(n, n) for n in range(600)} == want
 
 
+def test_a_large_group_of_near_copies(spark):
+    """The second round finds what the first doesn't, also beside a class that is whole already."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 63, size=16).astype(np.int64)
+    flips = [np.packbits(rng.random((16, 64)) < p, axis=1).view(">i8").ravel() for p in [0.03] * 400 + [0.12] * 60 + [0.5] * 40]
+    rows = [(n, *(int(x) for x in base ^ f)) for n, f in enumerate(flips)]
+    nodes = spark.createDataFrame(rows, "node long, " + ", ".join(f"w{k} long" for k in range(16)))
+    labels = {r.node: r.label for r in simhash.classes(nodes, 16, 32, 2, 172, 10).collect()}
+    wide = [sum((x & ((1 << 64) - 1)) << 64 * k for k, x in enumerate(r[1:])) for r in rows]
+    want = classes(list(range(len(rows))), wide, 172)
+    assert {n: labels.get(n, n) for n in want} == want and len(set(want.values())) == 41
+
+
 def test_odd_rows(odd, nothing):
     got = [(r.doc_id, r.component_id, r.w0) for r in simhash.near_duplicates(odd).collect()]
     assert len(got) == 10 and {(c, w) for i, c, w in got if i in (2, 3, 4)} == {(2, 0)}
