@@ -47,9 +47,9 @@ def pagination(rows: DataFrame, number: int, size: int = PAGE_SIZE) -> DataFrame
     )
 
 
-def lookup(articles: DataFrame, article_id: str) -> DataFrame:
-    """The article with this id; the predicate reaches the scan."""
-    return articles.filter(F.col("id") == article_id).limit(1)
+def lookup(articles: DataFrame, article_id, key: str = "id") -> DataFrame:
+    """The article with this id. On a stored key the predicate reaches the scan; compare before an id is cast to text."""
+    return articles.filter(F.col(key) == article_id).limit(1)
 
 
 def list_rows(articles: DataFrame) -> DataFrame:

@@ -61,13 +61,11 @@ def cleared(feed: DataFrame) -> DataFrame:
     return feed.filter(F.lit(False))
 
 
-def stats(queries: DataFrame, logs: DataFrame, issues: DataFrame, articles: DataFrame) -> DataFrame:
-    """One row of four counts. Each count is one row, so joining them is no product of tables."""
-    out = None
-    for name, frame in (("supportQueries", queries), ("activeLogs", logs), ("detectedIssues", issues), ("kbArticles", articles)):
-        one = frame.agg(F.count("*").alias(name))
-        out = one if out is None else out.crossJoin(one)
-    return out
+def stats(queries: DataFrame, logs: DataFrame, is_issue: Column, articles: DataFrame) -> DataFrame:
+    """One row of four counts; log rows for which is_issue holds are issues. Each frame gives one row, so joining them is
+    no product of tables."""
+    counted = logs.agg(F.count("*").alias("activeLogs"), F.count_if(is_issue).alias("detectedIssues"))
+    return queries.agg(F.count("*").alias("supportQueries")).crossJoin(counted).crossJoin(articles.agg(F.count("*").alias("kbArticles")))
 
 
 def merge_stats(base: DataFrame, update: DataFrame) -> DataFrame:

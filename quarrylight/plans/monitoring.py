@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarrylight.functions.maps import notification_type
 from quarrylight.functions.scalars import content_id
@@ -40,11 +41,22 @@ def level_issues(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("level").isin("ERROR", "WARN")).select("file", "line_no", "ts", "level", "message", F.lower("level").alias("pattern"), F.when(F.col("level") == "ERROR", "CRITICAL").otherwise("WARNING").alias("severity"))
 
 
-def anomalies(events: DataFrame, kind: str = "level", sigmas: float = SIGMAS) -> DataFrame:
-    """Hours of a kind with more events than its mean + sigmas x standard deviation over the hours it has."""
-    hours = events.groupBy(kind, F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).agg(F.count("*").alias("n"))
-    usual = hours.groupBy(kind).agg(F.avg("n").alias("mean"), F.stddev_samp("n").alias("sd"))
-    return hours.join(usual, kind).filter(F.col("n") > F.col("mean") + sigmas * F.coalesce("sd", F.lit(0.0))).select(kind, "hour", "n")
+def anomalies(events: DataFrame, *series: str, sigmas: float = SIGMAS) -> DataFrame:
+    """Hours of a series (the columns that name it; level if none is given) with more events than the series' mean +
+    sigmas x standard deviation over the hours it has."""
+    names = list(series or ("level",))
+    hours = events.groupBy(*names, F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).agg(F.count("*").alias("n"))
+    usual = hours.groupBy(*names).agg(F.avg("n").alias("mean"), F.stddev_samp("n").alias("sd"))
+    return hours.join(usual, names).filter(F.col("n") > F.col("mean") + sigmas * F.coalesce("sd", F.lit(0.0))).select(*names, "hour", "n")
+
+
+def findings(lines: DataFrame, rules: list[tuple]) -> DataFrame:
+    """All that an analysis finds in the lines: rule matches, errors and early warnings by level, and anomalous hours of a
+    file and level, as file, line_no (null for an hour), pattern and severity."""
+    columns = ("file", "line_no", "pattern", "severity")
+    hours = anomalies(lines.filter("level is not null"), "file", "level")
+    told = hours.select("file", F.lit(None).cast("long").alias("line_no"), F.lit("anomaly").alias("pattern"), F.lit("WARNING").alias("severity"))
+    return issues(lines, rules).select(*columns).unionByName(level_issues(lines).select(*columns)).unionByName(told)
 
 
 def status(found: DataFrame, files: DataFrame) -> DataFrame:
@@ -63,6 +75,18 @@ def recent_events(lines: DataFrame, n: int) -> DataFrame:
     return lines.orderBy(F.desc("ts"), F.desc("line_no")).limit(n).orderBy("ts", "line_no")
 
 
+def positions(lines: DataFrame) -> DataFrame:
+    """The lines with their position (from 0) in their file by time: the lines of an hour are numbered, and the hours
+    before add theirs, so no task sorts a whole file."""
+    dealt = lines.withColumn("hour", F.date_trunc("hour", "ts"))
+    hours = dealt.groupBy("file", "hour").agg(F.count("*").alias("n"))
+    before = hours.select("file", "hour", (F.sum("n").over(Window.partitionBy("file").orderBy("hour")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("file", "hour").orderBy("ts", "line_no")) - 1
+    same = F.equal_null(F.col("a.hour"), F.col("b.hour")) & (F.col("a.file") == F.col("b.file"))
+    numbered = dealt.withColumn("inside", inside)
+    return numbered.alias("a").join(before.alias("b"), same).select("a.*", (F.col("b.before") + F.col("a.inside")).cast("long").alias("position")).drop("hour", "inside")
+
+
 def notifications(statuses: DataFrame) -> DataFrame:
     """A notification event for each file that isn't OK."""
     told = statuses.filter("status <> 'OK'")

@@ -11,13 +11,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylight.functions import maps
 from quarrylight.functions import scalars as X
 from quarrylight.operators import catalog, feeds, sync
 from quarrylight.plans import monitoring, support, trace
+from quarrylight.sources import readers
 from quarrylight.sources.readers import split_valid
-from quarrylight.sources.writers import shared_folder
+from quarrylight.sources.writers import export_log, shared_folder, write_version
 from quarrylight.streaming import feeds as live
 
 
@@ -26,7 +28,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles(spark, d) -> DataFrame:
-    docs = _read(spark, d, "documents")
+    return as_articles(_read(spark, d, "documents"))
+
+
+def as_articles(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.col("lang").alias("category"), F.col("text").alias("description"), F.col("n_chars").alias("views"), F.split("text", "\n").alias("resolution_steps"))
 
 
@@ -121,7 +126,7 @@ def kb_pagination(spark, d):
 
 @_query("kb_article_lookup", "SELECT CAST(doc_id AS VARCHAR) AS id, source AS title, lang AS category, text AS description, n_chars AS views FROM documents WHERE doc_id = 5")
 def kb_article_lookup(spark, d):
-    return catalog.lookup(articles(spark, d), "5").drop("resolution_steps")
+    return as_articles(catalog.lookup(_read(spark, d, "documents"), 5, "doc_id")).drop("resolution_steps")
 
 
 @_query("kb_article_detail", "SELECT CAST(doc_id AS VARCHAR) AS id, source AS title, lang AS category, text AS description, CAST(len(string_split(text, chr(10))) AS BIGINT) AS steps FROM documents")
@@ -210,7 +215,7 @@ _STATS = "SELECT (SELECT count(*) FROM conversations WHERE role = 'user') AS sup
 
 @_query("system_stats", _STATS)
 def system_stats(spark, d):
-    return feeds.stats(_read(spark, d, "conversations").filter("role = 'user'"), _read(spark, d, "events"), _read(spark, d, "events").filter("event_type = 'error'"), _read(spark, d, "documents"))
+    return feeds.stats(_read(spark, d, "conversations").filter("role = 'user'"), _read(spark, d, "events"), F.col("event_type") == "error", _read(spark, d, "documents"))
 
 
 @_query("stats_cards", f"WITH s AS ({_STATS}) SELECT 'Support Queries' AS label, CAST(supportQueries AS VARCHAR) AS value FROM s UNION ALL SELECT 'Active Logs', CAST(activeLogs AS VARCHAR) || ' Logs' FROM s UNION ALL SELECT 'Detected Issues', CAST(detectedIssues AS VARCHAR) FROM s UNION ALL SELECT 'KB Articles', CAST(kbArticles AS VARCHAR) FROM s")
@@ -286,7 +291,7 @@ def content_ids(spark, d):
     return _read(spark, d, "events").filter("props is not null").select("event_id", X.content_id("event_type", "props").alias("id"))
 
 
-_SCORED = f"""WITH q AS (SELECT item_id, {_WORDS} AS qt FROM benchmark), a AS (SELECT doc_id, {_WORDS} AS dt FROM documents),
+_SCORED = f"""WITH q AS (SELECT item_id, {_WORDS} AS qt FROM benchmark), a AS (SELECT doc_id, {_WORDS} AS dt FROM (SELECT doc_id, concat_ws(' ', source, text) AS text FROM documents) AS x),
 s AS (SELECT item_id AS query_id, doc_id AS id, len(list_intersect(qt, dt)) / len(qt) AS confidence FROM q, a WHERE len(qt) > 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, id) AS BIGINT) AS rank FROM s WHERE confidence >= 0.8)"""
 
@@ -354,7 +359,10 @@ def invalid_records(spark, d):
 _LINES = f"(SELECT 'user-' || user_id AS file, event_id AS line_no, ts, {_LVL} AS level, event_type || coalesce(' ' || props, '') AS message FROM events)"
 _ISSUES = f"""(SELECT file, line_no, 'failure' AS pattern, 'CRITICAL' AS severity FROM {_LINES} AS l WHERE regexp_matches(message, '^error')
 UNION ALL SELECT file, line_no, 'high-k' AS pattern, 'WARNING' AS severity FROM {_LINES} AS l WHERE regexp_matches(message, '"k": 9[0-9]'))"""
-_STATUSES = f"(SELECT f.file, CASE max(CASE i.severity WHEN 'CRITICAL' THEN 2 WHEN 'WARNING' THEN 1 ELSE 0 END) WHEN 2 THEN 'CRITICAL' WHEN 1 THEN 'WARNING' ELSE 'OK' END AS status, count(i.severity) AS issues FROM (SELECT DISTINCT file FROM {_LINES} AS l) AS f LEFT JOIN {_ISSUES} AS i USING (file) GROUP BY f.file)"
+_LEVELS = f"SELECT file, line_no, lower(level) AS pattern, CASE level WHEN 'ERROR' THEN 'CRITICAL' ELSE 'WARNING' END AS severity FROM {_LINES} AS l WHERE level IN ('ERROR', 'WARN')"
+_HOURS = f"SELECT h.file, CAST(NULL AS BIGINT) AS line_no, 'anomaly' AS pattern, 'WARNING' AS severity FROM (SELECT file, level, date_trunc('hour', ts) AS hour, count(*) AS n FROM {_LINES} AS l GROUP BY ALL) AS h JOIN (SELECT file, level, avg(n) AS m, stddev_samp(n) AS s FROM (SELECT file, level, date_trunc('hour', ts) AS hour, count(*) AS n FROM {_LINES} AS l GROUP BY ALL) AS k GROUP BY file, level) AS u USING (file, level) WHERE n > m + 3 * coalesce(s, 0)"
+_FINDINGS = f"(SELECT * FROM {_ISSUES} AS i UNION ALL {_LEVELS} UNION ALL {_HOURS})"
+_STATUSES = f"(SELECT f.file, CASE max(CASE i.severity WHEN 'CRITICAL' THEN 2 WHEN 'WARNING' THEN 1 ELSE 0 END) WHEN 2 THEN 'CRITICAL' WHEN 1 THEN 'WARNING' ELSE 'OK' END AS status, count(i.severity) AS issues FROM (SELECT DISTINCT file FROM {_LINES} AS l) AS f LEFT JOIN {_FINDINGS} AS i USING (file) GROUP BY f.file)"
 
 
 @_query("log_issues", f"SELECT * FROM {_ISSUES} AS i")
@@ -362,7 +370,7 @@ def log_issues(spark, d):
     return monitoring.issues(log_lines(spark, d), RULES).select("file", "line_no", "pattern", "severity")
 
 
-@_query("log_level_issues", f"SELECT file, line_no, lower(level) AS pattern, CASE level WHEN 'ERROR' THEN 'CRITICAL' ELSE 'WARNING' END AS severity FROM {_LINES} AS l WHERE level IN ('ERROR', 'WARN')")
+@_query("log_level_issues", _LEVELS)
 def log_level_issues(spark, d):
     return monitoring.level_issues(log_lines(spark, d)).select("file", "line_no", "pattern", "severity")
 
@@ -370,7 +378,7 @@ def log_level_issues(spark, d):
 @_query("log_status", f"SELECT file, status, CAST(issues AS BIGINT) AS issues FROM {_STATUSES} AS s")
 def log_status(spark, d):
     lines = log_lines(spark, d)
-    return monitoring.status(monitoring.issues(lines, RULES), lines)
+    return monitoring.status(monitoring.findings(lines, RULES), lines)
 
 
 @_query("log_line_counts", f"SELECT file, count(*) AS lines, count(*) FILTER (level IS NULL) AS unparsed FROM {_LINES} AS l GROUP BY file")
@@ -395,9 +403,149 @@ def notification_events(spark, d):
 
 @_query("analysis_payload", f"SELECT CAST(row_number() OVER (PARTITION BY file ORDER BY ts, line_no) - 1 AS BIGINT) AS position, level, message FROM {_LINES} AS l")
 def analysis_payload(spark, d):
-    event = F.struct("ts", "line_no", "level", "message")
-    payload = log_lines(spark, d).groupBy("file").agg(F.array_sort(F.collect_list(event)).alias("recent_events"))
-    return monitoring.unnest_events(payload).select(F.col("position").cast("long").alias("position"), "level", "message")
+    return monitoring.positions(log_lines(spark, d)).select("position", "level", "message")
+
+
+@_query("log_findings", f"SELECT * FROM {_FINDINGS} AS f")
+def log_findings(spark, d):
+    return monitoring.findings(log_lines(spark, d), RULES)
+
+
+_LAST = f"SELECT * FROM {_LINES} AS l ORDER BY ts DESC, line_no DESC LIMIT 20"
+
+
+@_query("payload_events", f"SELECT CAST(row_number() OVER (ORDER BY ts, line_no) - 1 AS BIGINT) AS position, line_no, level FROM ({_LAST}) AS x")
+def payload_events(spark, d):
+    """The last 20 events as the nested list of one payload, and back."""
+    last = monitoring.recent_events(log_lines(spark, d), 20)
+    payload = last.agg(F.array_sort(F.collect_list(F.struct("ts", "line_no", "level", "message"))).alias("recent_events"))
+    return monitoring.unnest_events(payload).select(F.col("position").cast("long").alias("position"), "line_no", "level")
+
+
+@_query("payload_issues", f"SELECT line_no, pattern, severity FROM {_ISSUES} AS i")
+def payload_issues(spark, d):
+    """Each line's issues (at most one for each rule) as a nested list, and back."""
+    found = monitoring.issues(log_lines(spark, d), RULES)
+    nested = found.groupBy("file", "line_no").agg(F.collect_list(F.struct("line_no", "pattern", "severity")).alias("issues"))
+    return monitoring.unnest_issues(nested)
+
+
+@_query("payload_file_info", "SELECT source AS file_status, n_chars || ' characters' AS size, lang AS last_modified FROM documents")
+def payload_file_info(spark, d):
+    info = F.struct(F.concat(F.col("n_chars").cast("string"), F.lit(" characters")).alias("size"), F.col("lang").alias("last_modified"))
+    return monitoring.file_info(_read(spark, d, "documents").select(F.col("source").alias("file_status"), info.alias("file_info")))
+
+
+KINDS = ("click", "error", "purchase", "signup", "view")
+
+
+def _log_folder(spark, d) -> str:
+    """The events as text logs, a folder of files for each event type, in the shared folder."""
+    folder = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    e = _read(spark, d, "events")
+    line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), _case(F.col("event_type"), LEVEL_OF, "INFO"), F.lit("event"), F.col("event_id").cast("string"))
+    value = F.when(F.col("event_id") % 10 == 3, F.concat(F.lit("no log line "), F.col("event_id").cast("string"))).otherwise(line)
+    rows = e.select("event_id", F.col("event_type").alias("kind"), value.alias("value")).repartitionByRange("event_id")
+    rows.sortWithinPartitions("kind", "event_id").select("kind", "value").write.partitionBy("kind").text(folder)
+    return folder
+
+
+_FILE_LINE = f"SELECT event_type AS kind, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS BIGINT) AS line_no, CASE WHEN event_id % 10 <> 3 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS at, CASE WHEN event_id % 10 <> 3 THEN {_LVL} END AS level, CASE WHEN event_id % 10 = 3 THEN 'no log line ' ELSE 'event ' END || event_id AS message FROM events"
+
+
+def _read_kinds(spark, d):
+    folder = _log_folder(spark, d)
+    lines, status = readers.read_logs(spark, [f"{folder}/kind={k}" for k in KINDS] + [f"{folder}/missing.log"])
+    kind = F.regexp_replace(F.element_at(F.split("file", "/"), -1), "^kind=", "")
+    return lines.withColumn("kind", kind), status.withColumn("kind", kind)
+
+
+@_query("log_files_read", _FILE_LINE)
+def log_files_read(spark, d):
+    """Files are read, their lines parsed and numbered; what doesn't parse is kept."""
+    return _read_kinds(spark, d)[0].select("kind", "line_no", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "level", "message")
+
+
+@_query("log_files_access", "SELECT DISTINCT event_type AS kind, 'read' AS file_status FROM events UNION ALL SELECT 'missing.log', 'inaccessible'")
+def log_files_access(spark, d):
+    return _read_kinds(spark, d)[1].select("kind", "file_status")
+
+
+@_query("log_files_counts", f"SELECT kind, count(*) AS lines, count(*) FILTER (level IS NULL) AS unparsed FROM ({_FILE_LINE}) AS f GROUP BY kind")
+def log_files_counts(spark, d):
+    return monitoring.line_counts(_read_kinds(spark, d)[0].withColumn("file", F.col("kind"))).withColumnRenamed("file", "kind")
+
+
+@_query("entities_read", "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS type FROM events WHERE event_type IN ('view', 'error')")
+def entities_read(spark, d):
+    """Events as JSON lines read with the schema of an entity; of other types and without an id go to the quarantine."""
+    path = f"{shared_folder(spark)}/entities-{uuid.uuid4().hex}"
+    _read(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("type")).write.json(path)
+    return readers.read_entities(spark, path, T.StructType.fromDDL("id string, type string"), {"type": ("view", "error")})[0]
+
+
+@_query("entities_quarantined", "SELECT CASE WHEN event_id % 7 = 0 THEN 'no id' ELSE 'unknown type' END AS reason, count(*) AS n FROM events WHERE event_id % 7 = 0 OR event_type NOT IN ('view', 'error') GROUP BY 1")
+def entities_quarantined(spark, d):
+    path = f"{shared_folder(spark)}/entities-{uuid.uuid4().hex}"
+    some = F.when(F.col("event_id") % 7 != 0, F.col("event_id").cast("string"))
+    _read(spark, d, "events").select(some.alias("id"), F.col("event_type").alias("type")).write.json(path)
+    bad = readers.read_entities(spark, path, T.StructType.fromDDL("id string, type string"), {"type": ("view", "error")})[1]
+    return bad.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@_query("page_items", "SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS BIGINT) AS items, CASE WHEN doc_id % 3 = 0 THEN lang END AS first FROM documents")
+def page_items(spark, d):
+    """Responses with two items, without items, and broken ones."""
+    item = F.struct(F.col("lang").alias("id"))
+    body = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.array(item, item).alias("items")))).when(F.col("doc_id") % 3 == 1, '{"pagination":{}}').otherwise("not json")
+    items = readers.page_items(F.col("body"), T.StructType.fromDDL("items array<struct<id:string>>"))
+    return _read(spark, d, "documents").select("doc_id", body.alias("body")).select("doc_id", items.alias("items")).select("doc_id", F.size("items").cast("long").alias("items"), F.try_element_at("items", F.lit(1))["id"].alias("first"))
+
+
+@_query("chosen_slots", "SELECT r_regionkey AS slot, r_name || '.log' AS path FROM region WHERE r_regionkey % 2 = 0")
+def chosen_slots(spark, d):
+    path = F.when(F.col("r_regionkey") % 2 == 0, F.concat("r_name", F.lit(".log")))
+    return readers.chosen_files(_read(spark, d, "region").select(F.col("r_regionkey").alias("slot"), path.alias("path")))
+
+
+@_query("removed_slot", "SELECT n_nationkey, n_name AS path FROM nation")
+def removed_slot(spark, d):
+    slots = F.array(F.col("n_name"), F.lit("removed"))
+    return _read(spark, d, "nation").select("n_nationkey", F.explode(readers.without_slot(slots, 1)).alias("path"))
+
+
+@_query("configured_source", "SELECT '/data/quarrylight' AS source UNION ALL SELECT '/mnt/other/articles' UNION ALL SELECT '/data/quarrylight/articles'")
+def configured_source(spark, d):
+    """The default, a setting, and an empty setting, which counts as none."""
+    before = spark.conf.get(readers.SOURCE_SETTING, None)
+    told = []
+    for value, entity in ((None, ""), ("/mnt/other/", "articles"), ("", "articles")):
+        spark.conf.unset(readers.SOURCE_SETTING) if value is None else spark.conf.set(readers.SOURCE_SETTING, value)
+        told.append((readers.configured_source(spark, entity),))
+    spark.conf.unset(readers.SOURCE_SETTING) if before is None else spark.conf.set(readers.SOURCE_SETTING, before)
+    return spark.createDataFrame(told, "source string")
+
+
+@_query("export_read_back", f"SELECT CAST(event_id AS VARCHAR) AS id, event_type AS message, {_META} AS metadata FROM events")
+def export_read_back(spark, d):
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    feed = activities(spark, d).select("id", "message", F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
+    export_log(feed, path, "csv")
+    return spark.read.csv(path, header=True, schema="id string, message string, metadata string")
+
+
+@_query("sync_run", f"SELECT CASE WHEN c.content_hash IS NULL THEN 'inserted' WHEN s.content_hash IS NULL THEN 'kept' WHEN s.content_hash = c.content_hash THEN 'unchanged' ELSE 'updated' END AS outcome, count(*) AS n FROM {_SRC} AS s FULL JOIN {_CUR} AS c USING (source_id) GROUP BY 1")
+def sync_run(spark, d):
+    """A whole synchronization: the current version is read, the next one written, its outcomes counted."""
+    folder = f"{shared_folder(spark)}/sync-{uuid.uuid4().hex}"
+    write_version(_current(spark, d).withColumn("outcome", F.lit("")), folder, 0)
+    return sync.run_sync(_source(spark, d), folder, 0).withColumnRenamed("count", "n")
+
+
+@_query("sync_delete", "SELECT doc_id AS source_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def sync_delete(spark, d):
+    gone = _read(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("source_id"))
+    return sync.delete(_source(spark, d), gone).select("source_id")
 
 
 _TRACE = f"{_SCORED}, t AS (SELECT substr(sha256('query' || chr(31) || item_id), 1, 9) AS event_id, 'query' AS kind, CAST(item_id AS VARCHAR) AS subject, CAST(r.id AS VARCHAR) AS matched, confidence, CASE WHEN r.id IS NULL THEN 'no answer' ELSE 'answered' END AS outcome FROM benchmark LEFT JOIN r ON r.query_id = item_id AND rank = 1 UNION ALL SELECT substr(sha256('run' || chr(31) || file), 1, 9), 'run', file, NULL, NULL, status FROM {_STATUSES} AS s)"

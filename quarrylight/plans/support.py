@@ -13,25 +13,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylight.functions.scalars import terms
+from quarrylight.sources.writers import computed_once
 
 THRESHOLD = 0.8
 
 
+def article_terms(articles: DataFrame) -> DataFrame:
+    """id and the distinct words of title, keywords and text (those of them that are there)."""
+    parts = [F.array_join(c, " ") if t.startswith("array") else F.col(c).cast("string") for c, t in articles.dtypes if c in ("title", "keywords", "text")]
+    return articles.select("id", terms(F.concat_ws(" ", *parts)).alias("article_terms"))
+
+
 def retrieve(queries: DataFrame, articles: DataFrame, threshold: float = THRESHOLD, k: int | None = None) -> DataFrame:
     """query_id, article id, confidence and rank of all articles at or above the threshold (the k best of each query).
 
-    queries: query_id, query. articles: id (any ordered type), text.
+    queries: query_id, query. articles: id (any ordered type), text, and title and keywords if there are any.
+    The articles are cut into words once; only words that some query has are kept and shuffled.
     """
     asked = queries.select("query_id", terms(F.col("query")).alias("query_terms")).filter(F.size("query_terms") > 0)
-    library = articles.select("id", terms(F.col("text")).alias("article_terms"))
     asked_terms = asked.select("query_id", F.size("query_terms").alias("n"), F.explode("query_terms").alias("term"))
-    posted = library.select("id", F.explode("article_terms").alias("term")).join(asked_terms.select("term").distinct(), "term", "left_semi")
+    words = article_terms(articles).select("id", F.explode("article_terms").alias("term"))
+    posted = computed_once(words.join(asked_terms.select("term").distinct(), "term", "left_semi"))
     frequency = posted.groupBy("term").agg(F.count("*").alias("df"))
     rarest = Window.partitionBy("query_id").orderBy("df", "term")
     needed = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
     rare = asked_terms.join(frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("r", F.row_number().over(rarest)).filter(F.col("r") <= needed)
     candidates = posted.join(rare.select("query_id", "term"), "term").select("query_id", "id").distinct()
-    scored = candidates.join(asked, "query_id").join(library, "id").select("query_id", "id", (F.size(F.array_intersect("query_terms", "article_terms")) / F.size("query_terms")).alias("confidence"))
+    scored = candidates.join(asked_terms, "query_id").join(posted, ["id", "term"]).groupBy("query_id", "id").agg((F.count("*") / F.first("n")).alias("confidence"))
     ranked = scored.filter(F.col("confidence") >= threshold - 1e-12).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "id")).cast("long"))
     return ranked.filter(F.col("rank") <= k) if k else ranked
 

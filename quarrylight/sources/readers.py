@@ -6,11 +6,22 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 CORRUPT = "_corrupt_record"
 MAX_FILES = 10
 
 
+#: Where entities come from if the session names no other source.
+SOURCE_SETTING, DEFAULT_SOURCE = "spark.quarrylight.source", "/data/quarrylight"
+
+
+def configured_source(spark: SparkSession, entity: str = "") -> str:
+    """The configured source folder, or the default one; with an entity, its path there. An empty setting counts as none."""
+    folder = (spark.conf.get(SOURCE_SETTING, "") or DEFAULT_SOURCE).rstrip("/")
+    return f"{folder}/{entity}" if entity else folder
+
+
 def read_entities(spark: SparkSession, path: str, schema: T.StructType, domain: dict[str, tuple[str, ...]] | None = None, required: tuple[str, ...] = ("id",)) -> tuple[DataFrame, DataFrame]:
     """Rows of JSON lines with this schema, and the quarantined ones: corrupt records, null keys, and
     values outside their domain, each with a reason."""
@@ -64,15 +75,15 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 def read_logs(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """Parsed lines of all readable files, and a status row for each path (also those that can't be read).
 
-    Lines are numbered by their place in the file; a file is split by Spark, so the number comes from
-    an ordered window over each file.
+    Lines are numbered by their place in the file (in a folder, in the order of its files' names). Spark splits files: the
+    lines of a split are numbered where they are read, and the splits before add theirs, so no file is sorted.
     """
     if not 0 < len(paths) <= MAX_FILES:
         raise ValueError(f"1 to {MAX_FILES} log files are analysed at once")
     frames, failed = [], []
     for path in paths:
         try:
-            frames.append(spark.read.text(path, wholetext=False).select(F.lit(path).alias("file"), F.col("value").alias("raw"), F.monotonically_increasing_id().alias("at"), "_metadata.file_size", "_metadata.file_modification_time"))
+            frames.append(spark.read.text(path, wholetext=False).select(F.lit(path).alias("file"), F.col("value").alias("raw"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("begin"), "_metadata.file_size", "_metadata.file_modification_time"))
         except AnalysisException as e:
             failed.append((path, "inaccessible", str(e).splitlines()[0][:200]))
     status_schema = "file string, file_status string, problem string"
@@ -82,7 +93,8 @@ def read_logs(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFra
     raw = frames[0]
     for f in frames[1:]:
         raw = raw.unionByName(f)
-    from pyspark.sql.window import Window
-
-    numbered = raw.withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("at")).cast("long")).drop("at")
+    split = ["file", "part", "begin"]
+    sizes = raw.groupBy(*split).agg(F.min("at").alias("first"), F.count("*").alias("n"))  # a row for each split
+    before = sizes.select(*split, "first", (F.sum("n").over(Window.partitionBy("file").orderBy("part", "begin")) - F.col("n")).alias("before"))
+    numbered = raw.join(before, split).withColumn("line_no", F.col("at") - F.col("first") + F.col("before") + 1)
     return parse_lines(numbered).select("file", "line_no", "raw", "ts", "level", "message", "file_size", "file_modification_time"), status

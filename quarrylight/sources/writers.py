@@ -30,6 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """df, kept in the shared folder, for a plan that reads it several times."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def write_version(snapshot: DataFrame, folder: str, version: int) -> str:
     """Write a new version beside the old ones: a path is never overwritten while it is read."""
     path = f"{folder}/v{version:010d}"

@@ -116,6 +116,45 @@ def test_logs(spark, tmp_path):
         readers.read_logs(spark, ["x"] * 11)
 
 
+def test_levels_and_anomalies_give_the_status(spark):
+    """Lines of level WARN or ERROR that no rule matches, and an hour with far more lines than usual."""
+    quiet = [("busy", h, f"2024-01-{1 + h // 24:02d} {h % 24:02d}:00:00", "INFO", "x") for h in range(30)]
+    rush = [("busy", 100 + n, "2024-01-03 00:00:00", "INFO", "x") for n in range(50)]
+    rows = [("clean", 1, "2024-01-01 00:00:00", "INFO", "well"), ("warn", 1, "2024-01-01 00:00:00", "WARN", "odd"), ("err", 1, "2024-01-01 00:00:00", "ERROR", "odd"), ("raw", 1, None, None, "not parsed")]
+    lines = spark.createDataFrame(rows + quiet + rush, "file string, line_no long, ts string, level string, message string").withColumn("ts", F.to_timestamp("ts"))
+    got = {r.file: (r.status, r.issues) for r in monitoring.status(monitoring.findings(lines, RULES), lines).collect()}
+    assert got == {"clean": ("OK", 0), "warn": ("WARNING", 1), "err": ("CRITICAL", 1), "raw": ("OK", 0), "busy": ("WARNING", 1)}
+    placed = monitoring.positions(lines).collect()
+    assert sorted(r.position for r in placed if r.file == "busy") == list(range(80)) and len(placed) == len(rows) + 80
+
+
+def test_titles_and_keywords_are_scored(spark):
+    arts = spark.createDataFrame([(1, "Router", ["reset"], "now"), (2, None, None, "reset"), (3, "router", ["x"], None)], "id int, title string, keywords array<string>, text string")
+    ask = spark.createDataFrame([(1, "reset router")], "query_id int, query string")
+    assert [(r.id, r.confidence) for r in support.retrieve(ask, arts).collect()] == [(1, 1.0)]
+    assert [(r.id, r.confidence) for r in support.retrieve(ask, arts, 0.5).orderBy("rank").collect()] == [(1, 1.0), (2, 0.5), (3, 0.5)]
+
+
+def test_lookup_reaches_the_scan(spark):
+    from quarrylight.plans.queries import kb_article_lookup
+
+    plan = kb_article_lookup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,5)" in plan
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    text = "".join(f"2024-01-01 00:00:00 INFO line {n}\n" for n in range(5000))
+    (tmp_path / "a.log").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines, _ = readers.read_logs(spark, [str(tmp_path / "a.log")])
+        assert lines.rdd.getNumPartitions() >= 1
+        assert {r.line_no: r.message for r in lines.collect()} == {n + 1: f"line {n}" for n in range(5000)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_nested_payload(spark):
     row = ("OK", "read", ("1 kB", "today"), [("i1", "WARNING", "p", "t", "d", "a", None, None)], [("t2", "INFO", "b"), ("t1", "ERROR", "a")])
     analyses = spark.createDataFrame([row], schemas.LOG_ANALYSIS)
