@@ -11,7 +11,8 @@ filled with words of a bounded sample of the given pages, and on those sampled p
 their blocks are.
 
 Defined results: null and empty html, and pages without main text, give an empty text; repeated rows are extracted
-each; an empty table gives no rows; other columns are ignored. Scripts, styles, templates, titles, frames and comments
+each; an empty table gives no rows; other columns are ignored. Work and memory are in proportion to a page: of elements
+nested deeper than 64 the 32 outermost and the 32 innermost describe a block, by 16 names each at most; its text stays whole. Scripts, styles, templates, titles, frames and comments
 are never blocks (without an end tag only the start tag is skipped); formulas, drawings and fallback contents are text like any other. White space inside a block becomes one space; blocks are joined by two line feeds.
 """
 
@@ -24,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ FOREIGN = frozenset("math svg".split())
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 PARAGRAPH_ENDS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
+#: How much of a path describes a block: elements at either end of a deep path, and names of an element.
+NEAREST, NAMES = 32, 16
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
@@ -55,6 +59,7 @@ def parse(page: str) -> list[Block]:
     """The leaf blocks of a page, in order."""
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    open_names: dict[str, int] = {}
     current: Block | None = None
     links = foreign = 0
     unclosed: set[str] = set()
@@ -73,7 +78,8 @@ def parse(page: str) -> list[Block]:
         if current is None:
             if text.isspace():
                 return
-            current = Block(tuple(x for _, own in stack for x in own))
+            around = stack if len(stack) <= 2 * NEAREST else stack[:NEAREST] + stack[-NEAREST:]
+            current = Block(tuple(x for _, own in around for x in own))
         current.pieces.append(text)
         if links:
             current.link_chars += len(text)
@@ -85,6 +91,7 @@ def parse(page: str) -> list[Block]:
         nonlocal links, foreign
         while stack:
             last = stack.pop()[0]
+            open_names[last] -= 1
             links -= last == "a"
             if not inline(last):
                 end_block()
@@ -102,7 +109,7 @@ def parse(page: str) -> list[Block]:
         name = m[2].lower()
         if m[1]:
             ends = not inline(name)
-            if any(n == name for n, _ in stack):
+            if open_names.get(name):
                 close(name)
             if ends:
                 end_block()
@@ -119,17 +126,18 @@ def parse(page: str) -> list[Block]:
                 current.pieces.append(" ")
             continue
         if not inline(name):
-            while foreign and not any(n in ("foreignobject", "annotation-xml") for n, _ in stack):
+            while foreign and not (open_names.get("foreignobject") or open_names.get("annotation-xml")):
                 close(next(n for n, _ in reversed(stack) if n in FOREIGN))
             end_block()
-            if name in PARAGRAPH_ENDS and any(n == "p" for n, _ in stack):
+            if name in PARAGRAPH_ENDS and open_names.get("p"):
                 close("p")
             elif name in CLOSES_ITSELF and any(n == name for n, _ in stack[-3:]):
                 close(name)
         if name in VOID or m[3].endswith("/"):
             continue
         words = [p for g in _NAMES.findall(m[3]) for p in _PARTS.findall("".join(g).lower())]
-        stack.append((name, (name, *(f".{w}" for w in words))))
+        stack.append((name, (name, *(f".{w}" for w in words[:NAMES]))))
+        open_names[name] = open_names.get(name, 0) + 1
         links += name == "a"
         foreign += name in FOREIGN
     if at < len(page):
@@ -230,22 +238,24 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _read(x: np.ndarray, wx, wh, b):
-    """One direction of the LSTM over (pages, steps, features); outputs and what backward() needs."""
+def _read(x: np.ndarray, wx, wh, b, keep: bool = True):
+    """One direction of the LSTM over (pages, steps, features); outputs and, if kept, what _unread() needs."""
     pages, steps, _ = x.shape
     h = wh.shape[0]
-    z = x @ wx + b
     state, cell = np.zeros((pages, h), np.float32), np.zeros((pages, h), np.float32)
     outs, saved = np.empty((pages, steps, h), np.float32), []
     for t in range(steps):
-        g = z[:, t] + state @ wh
+        if t % 1024 == 0:
+            z = x[:, t : t + 1024] @ wx + b
+        g = z[:, t % 1024] + state @ wh
         s = _sigmoid(g[:, : 3 * h])
         i, f, o = s[:, :h], s[:, h : 2 * h], s[:, 2 * h :]
         c = np.tanh(g[:, 3 * h :])
         before = cell
         cell = f * cell + i * c
         squashed = np.tanh(cell)
-        saved.append((state, before, i, f, o, c, squashed))
+        if keep:
+            saved.append((state, before, i, f, o, c, squashed))
         state = o * squashed
         outs[:, t] = state
     return outs, saved
@@ -290,13 +300,13 @@ class Batch:
         self.back = np.repeat(self.sizes, self.sizes) - 1 - self.step
         self.shape = (len(pages), int(self.sizes.max()))
 
-    def forward(self, p: dict[str, np.ndarray]):
+    def forward(self, p: dict[str, np.ndarray], keep: bool = True):
         x = np.concatenate([_pooled(p["path"], self.path_ids, self.path_sizes), _pooled(p["word"], self.word_ids, self.word_sizes), self.numbers], axis=1).astype(np.float32)
         padded, turned = (np.zeros((*self.shape, x.shape[1]), np.float32) for _ in range(2))
         padded[self.row, self.step] = x
         turned[self.row, self.back] = x
-        f, f_saved = _read(padded, p["fx"], p["fh"], p["f0"])
-        b, b_saved = _read(turned, p["bx"], p["bh"], p["b0"])
+        f, f_saved = _read(padded, p["fx"], p["fh"], p["f0"], keep)
+        b, b_saved = _read(turned, p["bx"], p["bh"], p["b0"], keep)
         features = np.concatenate([f[self.row, self.step], b[self.row, self.back], x], axis=1)
         return _sigmoid(features @ p["out"] + p["bias"]), (x, padded, turned, f_saved, b_saved, features)
 
@@ -506,19 +516,35 @@ def fit(pages: DataFrame, settings: Settings | None = None) -> dict[str, np.ndar
     return train(training_pages([r["html"] for r in sorted(sample)], settings), settings)
 
 
-def label_pages(parsed: list[list[Block]], model: dict[str, np.ndarray], settings: Settings, group: int = 64) -> list[np.ndarray]:
-    """For each page the chance of each block to be main text; pages of like size are read together."""
+def label_pages(parsed: list[list[Block]], model: dict[str, np.ndarray], settings: Settings, group: int = 64, steps: int = 8192) -> list[np.ndarray]:
+    """For each page the chance of each block to be main text.
+
+    Pages of like size are read together: at most `group` of them and, with the longest one's blocks for each, `steps`
+    blocks, so that a long page stands alone and pads no other."""
     out = [np.empty(0, np.float32)] * len(parsed)
     filled = sorted((i for i in range(len(parsed)) if parsed[i]), key=lambda i: len(parsed[i]))
-    for a in range(0, len(filled), group):
-        part = filled[a : a + group]
+    while filled:
+        many = max(1, min(group, steps // len(parsed[filled[-1]])))
+        part, filled = filled[-many:], filled[:-many]
         batch = Batch([describe(parsed[i], settings) for i in part])
-        chances, _ = batch.forward(model)
+        chances, _ = batch.forward(model, keep=False)
         for i, c in zip(part, np.split(chances, np.cumsum(batch.sizes)[:-1]), strict=True):
             out[i] = c
     return out
 
 
+def _slices(sizes: list[int], rows: int = 512, limit: int = 4 << 20):
+    """Bounds of stretches of at most `rows` rows and, where they have several, about `limit` in size."""
+    begin = held = 0
+    for at, size in enumerate(sizes):
+        if at > begin and (at - begin >= rows or held + size > limit):
+            yield begin, at
+            begin, held = at, 0
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
 def extract(pages: DataFrame, model: dict[str, np.ndarray], settings: Settings | None = None) -> DataFrame:
     """page_id, url, text, n_chars for every row."""
     settings = settings or Settings()
@@ -526,8 +552,8 @@ def extract(pages: DataFrame, model: dict[str, np.ndarray], settings: Settings |
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at, end in _slices(pc.fill_null(pc.binary_length(whole.column(2)), 0).to_pylist()):
+                batch = whole.slice(at, end - at)
                 parsed = [parse(h.as_py() or "") for h in batch.column(2)]
                 texts = ["\n\n".join(b.text for b, c in zip(blocks, chances, strict=True) if c >= 0.5) for blocks, chances in zip(parsed, label_pages(parsed, shared.value, settings), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])

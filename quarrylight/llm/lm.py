@@ -12,8 +12,8 @@ block sends the sorted hashes of its distinct n-grams, with its training counts,
 up the counts of all blocks and answers each block with the totals of what it asked for. Hashes travel as one binary
 value for each block and bucket, in the order in which the answer comes back. From the answers each block builds
 the automaton of its own n-grams, which is all that its documents can visit, with weights that come from the whole
-corpus. What is gathered grows in proportion to the corpus, and a frequent n-gram costs one entry for each block
-however often it occurs.
+corpus. What is gathered grows in proportion to the corpus, and so do the numbers of buckets and tasks; a frequent n-gram
+costs one entry of 9 bytes for each block, in its bucket, however often it occurs.
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased, and are known by 64-bit hashes; longer n-grams
 by 48 bits of theirs beside the number of their bucket. Each document ends with one end token. Histories don't reach across documents.
@@ -131,7 +131,7 @@ class Automaton:
     """The backoff automaton of a block's n-grams.
 
     State 0 is the empty history; the other states are the n-grams seen in training, shorter than the
-    order. arcs maps state * words + word to an arc, with its next state and its weight.
+    order, that don't end in the end token (nothing follows it). arcs maps state * words + word to an arc, with its next state and its weight.
     """
 
     def __init__(self, grams: Grams, counts: list[np.ndarray], total: int, distinct: int, k: float):
@@ -152,12 +152,13 @@ class Automaton:
                 lower = probability[n - 2][end]
                 probability.append(np.where(size > 0, (c + k * lower) / (size + k), lower))
             if n < order:
-                own = shorter.copy()
-                own[seen] = states + np.arange(int(seen.sum()))
-                states += int(seen.sum())
+                own = np.where(grams.tokens[last] == END, 0, shorter)
+                goes_on = seen & (grams.tokens[last] != END)
+                own[goes_on] = states + np.arange(int(goes_on.sum()))
+                states += int(goes_on.sum())
                 state_of.append(own)
-                fail.append(shorter[seen])
-                backoff.append(np.log10(k / (c[seen] + k)))
+                fail.append(shorter[goes_on])
+                backoff.append(np.log10(k / (c[goes_on] + k)))
             begin = np.zeros(len(c), dtype=np.int64) if n == 1 else state_of[n - 2][grams.at[n - 2][last - 1]]
             some = np.ones(len(c), dtype=bool) if n == 1 else seen  # the empty history has an arc for each word
             keys.append((begin * words + grams.at[0][last])[some])
@@ -227,7 +228,9 @@ def score(docs: DataFrame, order: int = 2, concentration: float = CONCENTRATION,
                 types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["bucket", "block", "n", "hashes", "counts"])
 
-    asked = packed.mapInArrow(ask, "bucket int, block long, n int, hashes binary, counts binary")
+    # As many tasks as the text needs, four buckets each, so that none grows with the corpus.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + buckets // 4)
+    asked = packed.mapInArrow(ask, "bucket int, block long, n int, hashes binary, counts binary").repartition(tasks, "bucket")
 
     def answer(table: pa.Table) -> pa.Table:
         rows = []

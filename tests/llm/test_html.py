@@ -1,3 +1,5 @@
+from html.parser import HTMLParser
+
 import numpy as np
 import pytest
 
@@ -71,6 +73,67 @@ def test_held_out_layouts(model):
     assert right.mean() > 0.95
 
 
+class Reader(HTMLParser):
+    """The blocks of the article by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside = self.hidden = 0
+        self.blocks, self.text = [], ""
+
+    def end_block(self):
+        if text := " ".join(self.text.split()):
+            self.blocks.append(text)
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.hidden += tag in ("script", "style", "nav", "aside", "form", "footer")
+        if tag not in html.INLINE:
+            self.end_block()
+
+    def handle_endtag(self, tag):
+        if tag not in html.INLINE:
+            self.end_block()
+        self.hidden -= tag in ("script", "style", "nav", "aside", "form", "footer")
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside and not self.hidden:
+            self.text += data
+
+
+def test_given_pages_by_another_parser(spark):
+    rows = {r.page_id: r.text for r in op2_html_text(spark, "/root/testdata/sf0.001").collect()}
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        reader = Reader()
+        reader.feed(r.html)
+        assert rows[r.page_id] == "\n\n".join(reader.blocks)
+
+
+def test_pages_of_any_size(model):
+    import time
+    import tracemalloc
+
+    pages = ["<nav><a>Home</a></nav>" + "<p>A line of plain words, and some more of them.</p>" * 20_000, "<div>" * 50_000 + "text" + "</div>" * 50_000, "<div><p>x" * 20_000, "<p class='" + "a " * 50_000 + "'>" + "<b>y</b><br>" * 20_000, "</i>" * 100_000]
+    pages += ["<article><p>Few words.</p></article>"] * 63
+    began = time.process_time()
+    parsed = [html.parse(p) for p in pages]
+    tracemalloc.start()
+    chances = html.label_pages(parsed, model, SMALL)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(c) for c in chances] == [len(p) for p in parsed] and len(parsed[0]) == 20_001
+    assert peak < 300 << 20 and time.process_time() - began < 120
+    alone = html.label_pages([parsed[-1]], model, SMALL)[0]
+    assert np.allclose(alone, chances[-1], atol=1e-5)
+
+
+def test_slices():
+    assert list(html._slices([1, 9, 9, 1, 1], rows=2, limit=10)) == [(0, 2), (2, 4), (4, 5)]
+    assert list(html._slices([])) == []
+
+
 def test_given_pages(spark):
     rows = {r.page_id: r for r in op2_html_text(spark, "/root/testdata/sf0.001").collect()}
     for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():

@@ -42,12 +42,16 @@ def test_against_the_definition(spark, small_docs, order):
 
 
 def test_probabilities_add_up():
-    documents = [np.array([1, 2, 1, 3, 9], dtype=np.uint64), np.array([1, 2, 9], dtype=np.uint64)]
+    documents = [np.array([1, 2, 1, 3, lm.END], dtype=np.uint64), np.array([1, 2, lm.END], dtype=np.uint64)]
     grams = lm.Grams(documents, 2)
     counts = [np.bincount(a[a >= 0], minlength=len(h)) for a, h in zip(grams.at, grams.hashes, strict=True)]
     a = lm.Automaton(grams, counts, 8, 4, 4.0)
     for history in range(a.words):
         state = a.following[a.arcs[history]]
+        if grams.hashes[0][history] == lm.END:  # nothing follows it
+            assert state == 0
+            continue
+        assert state > 0
         chances = []
         for word in range(a.words):
             arc = a.arcs.get(state * a.words + word)
