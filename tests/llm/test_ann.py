@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.llm import ann
@@ -23,13 +25,25 @@ def found(df):
     return out
 
 
-def test_recall(spark):
-    rng = np.random.default_rng(1)
-    rows = [(i, rng.normal(size=32).tolist()) for i in range(6000)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got, want = found(ann.search(frame, F.col("vec_id") % 50 == 0)), exact([(i, np.float32(v)) for i, v in rows])
-    assert got.keys() == want.keys()
-    assert sum(len(set(got[q]) & set(want[q])) for q in want) / (5 * len(want)) >= 0.9
+@pytest.mark.parametrize("dim", [64, 128])
+def test_recall(spark, dim):
+    """Full blocks, of which the given share is ranked again."""
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(16_800, dim)).astype(np.float32)
+    table = pa.table({"vec_id": np.arange(len(x)) * 2, "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), dim).cast(pa.list_(pa.float32()))})
+    got = found(ann.search(spark.createDataFrame(table), F.col("vec_id") % 100 == 0))
+    x = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = []
+    for i in range(0, len(x), 50):
+        s = x @ x[i]
+        s[i] = -9
+        hits.append(len(set((2 * np.argsort(-s)[:5]).tolist()) & set(got[2 * i])))
+    assert len(got) == len(hits) and np.mean(hits) / 5 >= 0.9
+
+
+def test_nearest_pivots():
+    likeness = np.array([[1.0, 3.0, 2.0, 0.0], [0.5, 0.1, 0.2, 0.4]])
+    assert ann.nearest(likeness, 3).tolist() == [[1, 2, 0], [0, 3, 2]] and ann.nearest(likeness, 4).tolist() == [[1, 2, 0, 3], [0, 3, 2, 1]]
 
 
 def test_scores_and_small_tables(spark):
