@@ -107,7 +107,7 @@ def test_near_duplicates_against_all_pairs(spark, small_docs):
 
 def test_decontamination_against_all_windows(spark, small_docs):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    docs = [(r.doc_id, r.text) for r in small_docs.collect() if len(r.text or "") < 900]
+    docs = [(r.doc_id, r.text) for r in small_docs.collect() if len(r.text or "") < 1100]  # two of these hold a passage
     leaks = {d for (d, _), (_, _, _, window) in brute_leaks(docs, items).items() if window >= 8}
     chosen = small_docs.filter(F.col("doc_id").isin([d for d, _ in docs]))
     assert leaks and sorted(r.doc_id for r in pipeline.drop_contaminated(spark, chosen, SF).collect()) == sorted(d for d, _ in docs if d not in leaks)
