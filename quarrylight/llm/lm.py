@@ -10,13 +10,13 @@ from left to right carries the state, takes an arc or fails until one is there,
 No machine holds the model. Documents are packed into blocks of about four megabytes, which are kept compressed. A
 block sends the sorted hashes of its distinct n-grams, with its training counts, to buckets by hash; a bucket adds
 up the counts of all blocks and answers each block with the totals of what it asked for. Hashes travel as one binary
-value for each block and bucket, in the order in which the answer comes back. From the answers each block builds
+value for each block and bucket, as the compressed steps of a rising sequence, and the answer comes back in their order. From the answers each block builds
 the automaton of its own n-grams, which is all that its documents can visit, with weights that come from the whole
 corpus. What is gathered grows in proportion to the corpus, and so do the numbers of buckets and tasks; a frequent n-gram
-costs one entry of 9 bytes for each block, in its bucket, however often it occurs.
+costs one entry of a few bytes for each block, in its bucket, however often it occurs.
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased, and are known by 64-bit hashes; longer n-grams
-by 48 bits of theirs beside the number of their bucket. Each document ends with one end token. Histories don't reach across documents.
+by 44 bits of theirs beside the number of their bucket. Each document ends with one end token. Histories don't reach across documents.
 
 Defined results: a null or empty text is the end token alone; repeated rows are scored each and counted
 each in training; an empty table gives no rows; other columns are ignored; without training rows all
@@ -26,6 +26,7 @@ counts are zero and words have the probability of the base.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -94,17 +95,34 @@ def unsmall(data: bytes, n: int) -> np.ndarray:
     return counts
 
 
-def short(hashes: np.ndarray, n: int) -> bytes:
-    """Words' hashes in full, those of longer n-grams as their lower six bytes; their bucket tells of the upper ones."""
-    whole = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
-    return whole[:, : 6 if n else 8].tobytes()
+@lru_cache(maxsize=1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(), zstandard.ZstdDecompressor()
 
 
-def unshort(data, n: int) -> np.ndarray:
-    width = 6 if n else 8
-    whole = np.zeros((len(data) // width, 8), dtype=np.uint8)
-    whole[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return whole.view("<u8").ravel()
+def pressed(data: bytes) -> bytes:
+    return _zstd()[0].compress(data)
+
+
+def unpressed(data) -> bytes:
+    return _zstd()[1].decompress(data)
+
+
+def rising(numbers: np.ndarray) -> bytes:
+    """Sorted numbers as the steps between them, with the bytes of one place together, compressed."""
+    steps = np.diff(numbers, prepend=np.uint64(0)).astype("<u8")
+    return pressed(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unrising(data) -> np.ndarray:
+    places = np.frombuffer(unpressed(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(places.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def known_as(hashes: np.ndarray, n: int, buckets: int) -> np.ndarray:
+    """The number by which a bucket knows an n-gram: all of a word's hash (n = 0), of longer ones the upper bits, 44 and those
+    that the bucket fixes, so that chance meetings in a bucket stay as rare (one n-gram in ten million) at every size."""
+    return hashes >> np.uint64(max(0, 20 - (buckets.bit_length() - 1)) if n else 0)
 
 
 BLOCK = T.StructType(
@@ -122,7 +140,7 @@ BLOCK = T.StructType(
 def unpack(batch):
     """The tokens of the documents of each block in a batch."""
     for sizes, texts in zip(batch.column("sizes").to_pylist(), batch.column("texts"), strict=True):
-        raw = zstandard.decompress(texts.as_py())
+        raw = unpressed(texts.as_py())
         ends = np.cumsum(sizes).tolist()
         yield [tokens_of(raw[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
 
@@ -183,7 +201,7 @@ class Automaton:
         return total
 
 
-def score(docs: DataFrame, order: int = 2, concentration: float = CONCENTRATION, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, concentration: float = CONCENTRATION, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Score each row of docs (doc_id, text, held_out); rows with held_out false are the training rows."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
 
@@ -194,7 +212,7 @@ def score(docs: DataFrame, order: int = 2, concentration: float = CONCENTRATION,
 
         def block():
             raw = b"".join(r[2] for r in rows)
-            values = ((part << 32) | number, [r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], zstandard.compress(raw), len(raw) + len(rows))
+            values = ((part << 32) | number, [r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], pressed(raw), len(raw) + len(rows))
             types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=BLOCK.names)
 
@@ -221,9 +239,10 @@ def score(docs: DataFrame, order: int = 2, concentration: float = CONCENTRATION,
                 for n, (hashes, at) in enumerate(zip(grams.hashes, grams.at, strict=True)):
                     counts = np.bincount(at[training & (at >= 0)], minlength=len(hashes))
                     bounds = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
+                    numbers = known_as(hashes, n, buckets)
                     for b in np.flatnonzero(np.diff(bounds)).tolist():
                         part = slice(bounds[b], bounds[b + 1])
-                        rows.append((b, block, n, short(hashes[part], n), small(counts[part])))
+                        rows.append((b, block, n, rising(numbers[part]), pressed(small(counts[part]))))
                 cols = zip(*rows, strict=True)
                 types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["bucket", "block", "n", "hashes", "counts"])
@@ -235,7 +254,7 @@ def score(docs: DataFrame, order: int = 2, concentration: float = CONCENTRATION,
     def answer(table: pa.Table) -> pa.Table:
         rows = []
         for n in range(order):
-            own = [(b, unshort(h.as_buffer(), n), c.as_py()) for b, k, h, c in zip(table.column("block").to_pylist(), table.column("n").to_pylist(), table.column("hashes"), table.column("counts"), strict=True) if k == n]
+            own = [(b, unrising(h.as_py()), unpressed(c.as_py())) for b, k, h, c in zip(table.column("block").to_pylist(), table.column("n").to_pylist(), table.column("hashes"), table.column("counts"), strict=True) if k == n]
             if not own:
                 continue
             distinct, place = np.unique(np.concatenate([h for _, h, _ in own]), return_inverse=True)
@@ -244,7 +263,7 @@ def score(docs: DataFrame, order: int = 2, concentration: float = CONCENTRATION,
                 rows.append((-1, n, 0, b"", int(totals.sum()), int((totals > 0).sum())))
             at = 0
             for block, h, _ in own:
-                rows.append((block, n, table.column("bucket")[0].as_py(), small(totals[place[at : at + len(h)]]), len(h), 0))
+                rows.append((block, n, table.column("bucket")[0].as_py(), pressed(small(totals[place[at : at + len(h)]])), len(h), 0))
                 at += len(h)
         cols = zip(*rows, strict=True)
         types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
@@ -262,7 +281,7 @@ def score(docs: DataFrame, order: int = 2, concentration: float = CONCENTRATION,
         del documents
         replies: dict[int, list] = {n: [] for n in range(order)}
         for n, bucket, data, size in zip(*(answers.column(c).to_pylist() for c in ("n", "bucket", "totals", "size")), strict=True):
-            replies[n].append((bucket, unsmall(data, size)))
+            replies[n].append((bucket, unsmall(unpressed(data), size)))
         counts = [np.concatenate([np.empty(0, dtype=np.int64), *(c for _, c in sorted(replies[n], key=lambda x: x[0]))]) for n in range(order)]
         automaton = Automaton(grams, counts, total, vocabulary, concentration)
         of_token = counts[0][grams.at[0]]

@@ -65,6 +65,16 @@ def test_small_counts():
     assert lm.unsmall(lm.small(counts), 6).tolist() == counts.tolist()
 
 
+def test_rising_numbers():
+    numbers = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 5000, dtype=np.uint64))
+    for some in (numbers, numbers[:1], np.array([0, 0, 7, (1 << 64) - 1], dtype=np.uint64)):
+        assert lm.unrising(lm.rising(some)).tolist() == some.tolist()
+    for buckets in (1, 5, 1 << 20, 1 << 30):
+        for n in (0, 1):
+            known = lm.known_as(numbers, n, buckets)
+            assert len(np.unique(known)) == len(numbers) and (np.diff(known.astype(object)) > 0).all()
+
+
 def test_better_than_the_base_on_held_out_texts(spark, small_docs):
     from pyspark.sql import functions as F
 
