@@ -16,7 +16,7 @@ corpus. What is gathered grows in proportion to the corpus, and so do the number
 costs one entry of a few bytes for each block, in its bucket, however often it occurs.
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased, and are known by 64-bit hashes; longer n-grams
-by 44 bits of theirs beside the number of their bucket. Each document ends with one end token. Histories don't reach across documents.
+by 36 bits of theirs beside the number of their bucket. Each document ends with one end token. Histories don't reach across documents.
 
 Defined results: a null or empty text is the end token alone; repeated rows are scored each and counted
 each in training; an empty table gives no rows; other columns are ignored; without training rows all
@@ -40,6 +40,7 @@ from quarrylight.llm.common import SPACED, cut, mix64, word_hashes
 
 END = np.uint64(0x5BD1E995A5A5F00D)
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+TEXT_LEVEL = 5
 ADD, CONCENTRATION = 0.1, 4.0
 _KEYS = mix64(np.arange(101, 110, dtype=np.uint64)) | np.uint64(1)
 
@@ -120,9 +121,9 @@ def unrising(data) -> np.ndarray:
 
 
 def known_as(hashes: np.ndarray, n: int, buckets: int) -> np.ndarray:
-    """The number by which a bucket knows an n-gram: all of a word's hash (n = 0), of longer ones the upper bits, 44 and those
-    that the bucket fixes, so that chance meetings in a bucket stay as rare (one n-gram in ten million) at every size."""
-    return hashes >> np.uint64(max(0, 20 - (buckets.bit_length() - 1)) if n else 0)
+    """The number by which a bucket knows an n-gram: all of a word's hash (n = 0), of longer ones the upper bits, 36 and those
+    that the bucket fixes, so that chance meetings in a bucket stay as rare (one n-gram in 50,000 at most) at every size."""
+    return hashes >> np.uint64(max(0, 28 - (buckets.bit_length() - 1)) if n else 0)
 
 
 BLOCK = T.StructType(
@@ -212,7 +213,7 @@ def score(docs: DataFrame, order: int = 3, concentration: float = CONCENTRATION,
 
         def block():
             raw = b"".join(r[2] for r in rows)
-            values = ((part << 32) | number, [r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], pressed(raw), len(raw) + len(rows))
+            values = ((part << 32) | number, [r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], zstandard.compress(raw, TEXT_LEVEL), len(raw) + len(rows))
             types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=BLOCK.names)
 
