@@ -3,7 +3,7 @@
 A text is cut at two code points into prefix, middle and suffix, which are laid out anew around sentinels. Places are drawn
 as numbers of code points, texts are UTF-8, so a place must be turned into a byte. One Aho-Corasick automaton reads the
 bytes of a text and reports its events: the ASCII characters at which the text changes between ASCII and other
-characters, and the sentinels. Between two events there are either ASCII characters alone, so that a unit is a byte, or others
+characters, and the sentinels. (It reads bytes by their class, so that it has few patterns.) Between two events there are either ASCII characters alone, so that a unit is a byte, or others
 alone; a gap of those whose characters are equally long gives its units by a division, and one that mixes lengths is
 divided at the changes. Events are few, so a search among their numbers of units and a multiplication find a place.
 
@@ -22,7 +22,6 @@ from bisect import bisect_right
 from dataclasses import dataclass
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +29,8 @@ from pyspark.sql import functions as F
 from quarrylight.llm.common import chunks
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
-#: The lengths of UTF-8 characters by their first byte.
-_WIDTH = np.ones(256, dtype=np.int64)
-_WIDTH[0xC0:0xE0], _WIDTH[0xE0:0xF0], _WIDTH[0xF0:] = 2, 3, 4
-
+#: The classes of the first bytes of characters that aren't ASCII, and how many bytes these characters have.
+WIDTHS = {"2": 2, "3": 3, "4": 4}
 STARTS, STOPS, SENTINEL = 1, 2, 3
 
 
@@ -44,61 +41,66 @@ class Settings:
     spm_percent: int = 20
 
 
+def _classes() -> bytes:
+    """What the automaton reads of each byte: the letters of sentinels as they are, other ASCII as one letter, the first
+    byte of a longer character as its length, and the bytes after it as another letter."""
+    table = bytearray(b"a" * 0x80 + b"c" * 0x40 + b"2" * 0x20 + b"3" * 0x10 + b"4" * 0x10)
+    for letter in LETTERS.encode():
+        table[letter] = letter
+    return bytes(table)
+
+
+LETTERS = "".join(sorted(set(PREFIX + SUFFIX + MIDDLE)))
+CLASSES = _classes()
+
+
 def automaton() -> ahocorasick.Automaton:
-    """Finds, in the bytes of a text (one character a byte), an ASCII character after another one's last byte, an ASCII
-    character before another one's first byte, and the sentinels."""
+    """Finds, in the classes of a text's bytes, an ASCII character after another one's last byte, an ASCII character
+    before another one's first byte, and the sentinels."""
     found = ahocorasick.Automaton()
     for sentinel in (PREFIX, SUFFIX, MIDDLE):
         found.add_word(sentinel, SENTINEL)
-    for a in map(chr, range(0x80)):
-        for first in map(chr, range(0xC2, 0xF5)):
-            found.add_word(a + first, STOPS)
-        for last in map(chr, range(0x80, 0xC0)):
-            found.add_word(last + a, STARTS)
+    for ascii_class in "a" + LETTERS:
+        found.add_word("c" + ascii_class, STARTS)
+        for width in WIDTHS:
+            found.add_word(ascii_class + width, STOPS)
     found.make_automaton()
     return found
 
 
 class Ranks:
-    """The events of a text: bytes at which characters of another length begin, each with the units before it."""
+    """The gaps between a text's events: where each begins, the units before it, and the bytes of a unit in it."""
 
-    def __init__(self, raw: bytes, events):
+    def __init__(self, raw: bytes, found: ahocorasick.Automaton):
         self.at, self.units, self.widths = [0], [0], [1]
-        self.sentinel = False
-        ascii_now = not raw or raw[0] < 0x80
-        gap = 0
-        for end, kind in events:
+        self.sentinel, self.total = False, 0
+        classes = raw.translate(CLASSES).decode("ascii")
+        start = 0
+        for end, kind in found.iter(classes):  # an event ends at the first byte of the next gap
             if kind == SENTINEL:
                 self.sentinel = True
-            elif kind == STOPS and ascii_now:  # `end` is the first byte of another character
-                self._ascii(gap, end)
-                gap, ascii_now = end, False
-            elif kind == STARTS and not ascii_now:  # `end` is an ASCII character
-                self._others(raw, gap, end)
-                gap, ascii_now = end, True
-        self._ascii(gap, len(raw)) if ascii_now else self._others(raw, gap, len(raw))
-        self.total = self.units.pop()
-        self.at.pop(), self.widths.pop()
-
-    def _gap(self, end: int, units: int, width: int) -> None:
-        self.widths[-1] = width
-        self.at.append(end)
-        self.units.append(self.units[-1] + units)
-        self.widths.append(1)
-
-    def _ascii(self, start: int, end: int) -> None:
-        self._gap(end, end - start, 1)
-
-    def _others(self, raw: bytes, start: int, end: int) -> None:
-        """A gap without ASCII: as many units as its bytes hold characters of one length, cut where the length changes."""
-        part = np.frombuffer(raw, dtype=np.uint8, count=end - start, offset=start)
-        firsts = np.flatnonzero((part & 0xC0) != 0x80)
-        widths = _WIDTH[part[firsts]]
-        change = np.append(np.flatnonzero(np.diff(widths)) + 1, len(firsts))
-        done = 0
-        for upto in change.tolist():
-            self._gap(start + (int(firsts[upto]) if upto < len(firsts) else end - start), upto - done, int(widths[done]))
-            done = upto
+                continue
+            self._gap(classes, start, end)
+            start = end
+        self._gap(classes, start, len(raw))
+
+    def _gap(self, classes: str, start: int, end: int) -> None:
+        width = WIDTHS.get(classes[start : start + 1], 1)
+        if width == 1 or end - start == width or classes.count(classes[start], start, end) * width == end - start:
+            self._add(start, width, (end - start) // width)
+            return
+        while start < end:  # characters of several lengths: a gap for each run of one length
+            width, at = WIDTHS[classes[start]], start
+            while start < end and classes[start] == classes[at]:
+                start += width
+            self._add(at, width, (start - at) // width)
+
+    def _add(self, start: int, width: int, units: int) -> None:
+        if units:
+            self.at.append(start)
+            self.units.append(self.total)
+            self.widths.append(width)
+            self.total += units
 
     def byte_of(self, unit: int) -> int:
         """The byte at which a unit begins (the end, for the number of all units)."""
@@ -106,10 +108,6 @@ class Ranks:
         return self.at[k] + (unit - self.units[k]) * self.widths[k]
 
 
-def ranks(raw: bytes, found: ahocorasick.Automaton) -> Ranks:
-    return Ranks(raw, found.iter(raw.decode("latin-1")))
-
-
 def draws(seed: str, doc_id: int | None) -> list[int]:
     told = hashlib.sha256(f"{seed}{'' if doc_id is None else doc_id}".encode()).hexdigest()
     return [int(told[k : k + 8], 16) for k in range(0, 32, 8)]
@@ -117,7 +115,7 @@ def draws(seed: str, doc_id: int | None) -> list[int]:
 
 def arrange(raw: bytes, doc_id: int | None, found: ahocorasick.Automaton, settings: Settings) -> tuple:
     """(units, form, units of the prefix, of the middle, laid-out bytes)"""
-    told = ranks(raw, found)
+    told = Ranks(raw, found)
     h1, h2, h3, h4 = draws(settings.seed, doc_id)
     if not raw or told.sentinel or h3 % 100 >= 100 - settings.plain_percent:
         return told.total, "plain", None, None, raw

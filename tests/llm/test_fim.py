@@ -31,14 +31,14 @@ def test_bytes_as_by_code_points(text, doc_id):
 
 @given(st.text(max_size=60))
 def test_every_unit_has_its_byte(text):
-    told = fim.ranks(text.encode(), FOUND)
+    told = fim.Ranks(text.encode(), FOUND)
     assert told.total == len(text)
     assert [told.byte_of(k) for k in range(len(text) + 1)] == [len(text[:k].encode()) for k in range(len(text) + 1)]
 
 
 def test_events_are_sparse():
     text = ("plain ascii words " * 50 + "日本語" * 50) * 20
-    assert len(fim.ranks(text.encode(), FOUND).at) == 40
+    assert len(fim.Ranks(text.encode(), FOUND).at) == 41
 
 
 def test_sentinels_at_seams(spark):
