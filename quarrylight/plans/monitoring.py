@@ -18,16 +18,15 @@ MAX_RULES = 1_000
 
 
 def rule_table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
-    """(pattern, regex, severity, description, recommended_action, related_article)"""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
+    """(pattern, regex, severity, description, recommended_action, related_article); of any number, for `rules.rule_issues`."""
     return spark.createDataFrame(rules, "pattern string, regex string, severity string, description string, recommended_action string, related_article string")
 
 
 def issues(lines: DataFrame, rules: list[tuple]) -> DataFrame:
     """An issue for each line and rule whose expression it matches.
 
-    The rules are few by contract, so each becomes one expression of a single pass over the lines: no join.
+    The rules are few by contract, so each becomes one expression of a single pass over the lines: no join. More rules
+    than MAX_RULES are joined with the lines by `rules.rule_issues`.
     """
     if len(rules) > MAX_RULES:
         raise ValueError(f"at most {MAX_RULES} rules")
@@ -66,6 +65,34 @@ def status(found: DataFrame, files: DataFrame) -> DataFrame:
     return files.select("file").distinct().join(worst, "file", "left").select("file", F.element_at(F.array(F.lit("OK"), F.lit("WARNING"), F.lit("CRITICAL")), F.coalesce("worst", F.lit(0)) + 1).alias("status"), F.coalesce("issues", F.lit(0)).cast("long").alias("issues"))
 
 
+def analyse(lines: DataFrame, rules: list[tuple], sigmas: float = SIGMAS) -> DataFrame:
+    """file, status and number of issues of every file, from all findings, in one pass over the lines.
+
+    Each line's findings by rules and by level are counted in its row; the lines are added up by file, level and hour, and the
+    hours of a file and level, which are few, give the anomalies."""
+    matched = [F.when(F.col("message").rlike(regex), F.when(F.lit(severity) == "CRITICAL", 2).otherwise(1)) for _, regex, severity, *_ in rules]
+    by_level = F.when(F.col("level") == "ERROR", 2).when(F.col("level") == "WARN", 1)
+    found = F.filter(F.array(*matched, by_level), lambda x: x.isNotNull())
+    hours = lines.select("file", "level", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour"), F.size(found).alias("issues"), F.coalesce(F.array_max(found), F.lit(0)).alias("worst"))
+    hours = hours.groupBy("file", "level", "hour").agg(F.count("*").alias("n"), F.sum("issues").alias("issues"), F.max("worst").alias("worst"))
+    series = Window.partitionBy("file", "level")
+    usual = F.avg("n").over(series) + sigmas * F.coalesce(F.stddev_samp("n").over(series), F.lit(0.0))
+    marked = hours.withColumn("anomaly", (F.col("level").isNotNull() & (F.col("n") > usual)).cast("int"))
+    files = marked.groupBy("file").agg(F.greatest(F.max("worst"), F.max("anomaly")).alias("worst"), (F.sum("issues") + F.sum("anomaly")).alias("issues"))
+    return files.select("file", F.element_at(F.array(F.lit("OK"), F.lit("WARNING"), F.lit("CRITICAL")), F.col("worst") + 1).alias("status"), F.col("issues").cast("long").alias("issues"))
+
+
+def run(lines: DataFrame, access: DataFrame, rules: list[tuple]) -> DataFrame:
+    """A monitoring run over the files of `read_logs`: a row for each path, read or not, with its status and issues, the
+    notification that it gives (null where there is none) and the run's trace record."""
+    told = access.join(analyse(lines, rules), "file", "left")
+    empty = (F.col("file_status") == "read") & F.col("status").isNull()  # a readable file without lines is in order
+    told = told.withColumns({"status": F.when(empty, "OK").otherwise(F.coalesce("status", F.lit("FAILED"))), "issues": F.when(empty, 0).otherwise(F.col("issues"))})
+    title = F.when(F.col("status").isin("WARNING", "CRITICAL"), F.concat(F.lit("Log analysis: "), F.col("status"))).when(F.col("status") == "FAILED", F.concat(F.lit("Log analysis failed: "), F.col("file_status")))
+    kind = F.when(title.isNotNull(), F.when(F.col("status") == "WARNING", "warning").otherwise("error"))
+    return told.select("file", "file_status", "status", "issues", title.alias("title"), kind.alias("type"), content_id(F.lit("run"), F.col("file")).alias("event_id"))
+
+
 def line_counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("file").agg(F.count("*").alias("lines"), F.count_if(F.col("level").isNull()).alias("unparsed"))
 

@@ -377,8 +377,7 @@ def log_level_issues(spark, d):
 
 @_query("log_status", f"SELECT file, status, CAST(issues AS BIGINT) AS issues FROM {_STATUSES} AS s")
 def log_status(spark, d):
-    lines = log_lines(spark, d)
-    return monitoring.status(monitoring.findings(lines, RULES), lines)
+    return monitoring.analyse(log_lines(spark, d), RULES)
 
 
 @_query("log_line_counts", f"SELECT file, count(*) AS lines, count(*) FILTER (level IS NULL) AS unparsed FROM {_LINES} AS l GROUP BY file")
@@ -430,17 +429,28 @@ def payload_issues(spark, d):
     return monitoring.unnest_issues(nested)
 
 
-@_query("payload_file_info", "SELECT source AS file_status, n_chars || ' characters' AS size, lang AS last_modified FROM documents")
+@_query("payload_file_info", "SELECT event_type AS file_status, json_extract_string(props, '$.k') AS size, CAST(NULL AS VARCHAR) AS last_modified FROM events")
 def payload_file_info(spark, d):
-    info = F.struct(F.concat(F.col("n_chars").cast("string"), F.lit(" characters")).alias("size"), F.col("lang").alias("last_modified"))
-    return monitoring.file_info(_read(spark, d, "documents").select(F.col("source").alias("file_status"), info.alias("file_info")))
+    """The nested fields of the events' JSON; one that a payload doesn't have is null."""
+    info = F.from_json("props", "struct<k:string,last_modified:string>")
+    return monitoring.file_info(_read(spark, d, "events").select(F.col("event_type").alias("file_status"), F.struct(info["k"].alias("size"), info["last_modified"].alias("last_modified")).alias("file_info")))
 
 
 KINDS = ("click", "error", "purchase", "signup", "view")
 
 
+_log_folders: dict[tuple[str, str], str] = {}
+
+
 def _log_folder(spark, d) -> str:
-    """The events as text logs, a folder of files for each event type, in the shared folder."""
+    """The events as text logs, a folder of files for each event type, in the shared folder; written once for a session and folder of tables."""
+    of = (spark.sparkContext.applicationId, d)
+    if of not in _log_folders:
+        _log_folders[of] = _write_logs(spark, d)
+    return _log_folders[of]
+
+
+def _write_logs(spark, d) -> str:
     folder = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
     e = _read(spark, d, "events")
     line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), _case(F.col("event_type"), LEVEL_OF, "INFO"), F.lit("event"), F.col("event_id").cast("string"))
@@ -508,22 +518,11 @@ def chosen_slots(spark, d):
     return readers.chosen_files(_read(spark, d, "region").select(F.col("r_regionkey").alias("slot"), path.alias("path")))
 
 
-@_query("removed_slot", "SELECT n_nationkey, n_name AS path FROM nation")
+@_query("removed_slot", "SELECT conv_id, text AS path FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS r FROM conversations) AS t WHERE r <> 2")
 def removed_slot(spark, d):
-    slots = F.array(F.col("n_name"), F.lit("removed"))
-    return _read(spark, d, "nation").select("n_nationkey", F.explode(readers.without_slot(slots, 1)).alias("path"))
-
-
-@_query("configured_source", "SELECT '/data/quarrylight' AS source UNION ALL SELECT '/mnt/other/articles' UNION ALL SELECT '/data/quarrylight/articles'")
-def configured_source(spark, d):
-    """The default, a setting, and an empty setting, which counts as none."""
-    before = spark.conf.get(readers.SOURCE_SETTING, None)
-    told = []
-    for value, entity in ((None, ""), ("/mnt/other/", "articles"), ("", "articles")):
-        spark.conf.unset(readers.SOURCE_SETTING) if value is None else spark.conf.set(readers.SOURCE_SETTING, value)
-        told.append((readers.configured_source(spark, entity),))
-    spark.conf.unset(readers.SOURCE_SETTING) if before is None else spark.conf.set(readers.SOURCE_SETTING, before)
-    return spark.createDataFrame(told, "source string")
+    """Each conversation's texts as slots in the order of turns, without the second one."""
+    turns = _read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    return turns.select("conv_id", F.explode(readers.without_slot(F.transform("turns", lambda t: t["text"]), 1)).alias("path"))
 
 
 @_query("export_read_back", f"SELECT CAST(event_id AS VARCHAR) AS id, event_type AS message, {_META} AS metadata FROM events")

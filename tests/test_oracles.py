@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from quarrylight.plans import more_queries  # noqa: F401
 from quarrylight.plans import queries as base
 
 SF = "/root/testdata/sf0.001"
