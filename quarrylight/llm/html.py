@@ -8,7 +8,10 @@ not, so a decision can rest on what stands anywhere else in the page.
 
 The labeller is trained where it is used, with numpy: on pages made up from many layouts, whose blocks are known,
 filled with words of a bounded sample of the given pages, and on those sampled pages whose mark-up states what
-their blocks are.
+their blocks are. Part of the layouts name nothing, name parts by words that say nothing, or stand in tables, so that links,
+lengths and places are learned for themselves.
+
+Mark-up is read once, by the states of the HTML standard; the time is in proportion to the page also where it is broken.
 
 Defined results: null and empty html, and pages without main text, give an empty text; repeated rows are extracted
 each; an empty table gives no rows; other columns are ignored. Work and memory are in proportion to a page: of elements
@@ -42,11 +45,59 @@ PARAGRAPH_ENDS = frozenset("address article aside blockquote div dl fieldset fig
 
 #: How much of a path describes a block: elements at either end of a deep path, and names of an element.
 NEAREST, NAMES = 32, 16
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>""", re.S)
+#: White space between attributes, by the HTML standard.
+_WS = r"\t\n\f\r "
+#: A tag by the states of the standard: attributes in quotes, bare ones (in which quotes are ordinary characters), and none.
+_TAG = re.compile(rf"""<(/?)([a-zA-Z][^{_WS}/>]*+)((?>[{_WS}/]*+[^{_WS}/>][^{_WS}/>=]*+(?:[{_WS}]*+=[{_WS}]*+(?:"[^"]*+"|'[^']*+'|(?=>)|[^{_WS}>]++))?+)*+)([{_WS}/]*+)>""")
+_START = re.compile(r"</?[a-zA-Z]|<[!?]|</")
+_COMMENT_END = re.compile(r"--!?>")
+_LONG_REFERENCE = re.compile(r"&#(?:0*+([0-9]{8,})|[xX]0*+([0-9a-fA-F]{7,}));?")
+_ZEROS = re.compile(r"&#([xX]?)0{4,}")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
 
+class Tags:
+    """The tags and comments of a page, each found by one reading of it.
+
+    A tag that would run past the page's end ends at its first `>` instead, and so do all after it: only one is ever
+    read to the end in vain. Where no `>` follows, `<` is text."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quoted = page, page.rfind(">"), True
+
+    def next(self, at: int) -> tuple[int, int, str, str, str, bool] | None:
+        """Start, end, `/` of an end tag, name (empty for comments and the like), attributes, and whether it closes itself."""
+        page = self.page
+        while m := _START.search(page, at):
+            start = m.start()
+            if page.startswith("<!--", start):
+                if page.startswith((">", "->"), start + 4):
+                    return start, page.index(">", start) + 1, "", "", "", False
+                close = _COMMENT_END.search(page, start + 4)
+                return start, close.end() if close else len(page), "", "", "", False
+            if start > self.last:
+                return None
+            first = page[start + 1 : start + 3].lstrip("/")[:1]
+            if not (first.isascii() and first.isalpha()):
+                return start, page.index(">", start) + 1, "", "", "", False
+            if self.quoted:
+                if tag := _TAG.match(page, start):
+                    return start, tag.end(), tag[1], tag[2].lower(), tag[3], tag[4].endswith("/")
+                self.quoted = False
+            end = page.index(">", start)
+            name, _, rest = re.sub(rf"[{_WS}/]", " ", page[start + 1 : end].lstrip("/"), count=1).partition(" ")
+            return start, end + 1, "/" if page.startswith("</", start) else "", name.lower(), rest, rest.endswith("/")
+        return None
+
+
+def unescape(raw: str) -> str:
+    """Character references decoded; numbers beyond all characters become the replacement character."""
+    if "&" not in raw:
+        return raw
+    return entities.unescape(_LONG_REFERENCE.sub("\ufffd", _ZEROS.sub(r"&#\g<1>0", raw)))
+
+
 @dataclass
 class Block:
     path: tuple[str, ...]
@@ -74,7 +125,7 @@ def parse(page: str) -> list[Block]:
 
     def add(raw: str):
         nonlocal current
-        text = entities.unescape(raw) if "&" in raw else raw
+        text = unescape(raw)
         if current is None:
             if text.isspace():
                 return
@@ -99,15 +150,15 @@ def parse(page: str) -> list[Block]:
             if last == name:
                 return
 
-    at = 0
-    while m := _TAG.search(page, at):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    at, tags = 0, Tags(page)
+    while tag := tags.next(at):
+        start, end, closing, name, attributes, selfclosing = tag
+        if start > at:
+            add(page[at:start])
+        at = end
+        if not name:
             continue
-        name = m[2].lower()
-        if m[1]:
+        if closing:
             ends = not inline(name)
             if open_names.get(name):
                 close(name)
@@ -115,9 +166,9 @@ def parse(page: str) -> list[Block]:
                 end_block()
             continue
         if name in UNSEEN:
-            if name not in unclosed and not m[3].rstrip().endswith("/"):
-                if end := re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at):
-                    at = end.end()
+            if name not in unclosed and not selfclosing:
+                if hidden := re.compile(rf"</{name}(?=[{_WS}/>])[^>]*+>", re.I).search(page, at, tags.last + 1):
+                    at = hidden.end()
                 else:
                     unclosed.add(name)
             continue
@@ -133,9 +184,9 @@ def parse(page: str) -> list[Block]:
                 close("p")
             elif name in CLOSES_ITSELF and any(n == name for n, _ in stack[-3:]):
                 close(name)
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or selfclosing:
             continue
-        words = [p for g in _NAMES.findall(m[3]) for p in _PARTS.findall("".join(g).lower())]
+        words = [p for g in _NAMES.findall(attributes) for p in _PARTS.findall("".join(g).lower())]
         stack.append((name, (name, *(f".{w}" for w in words[:NAMES]))))
         open_names[name] = open_names.get(name, 0) + 1
         links += name == "a"
@@ -368,11 +419,18 @@ NEUTRAL = "container wrapper row col inner box block layout page region grid cel
 KEEP = ""  # a private-use character that begins the blocks to keep in a training page
 
 
+#: How training pages name their parts, and the share of each: as is usual, with names that say nothing, without any, and
+#: in the cells of a table without any.
+LAYOUTS = {"named": 0.55, "strange": 0.12, "bare": 0.19, "table": 0.14}
+SEMANTIC = frozenset("nav header footer aside form article main section".split())
+
+
 class PageMaker:
     """Pages of known structure, filled with given words."""
 
-    def __init__(self, words: list[str], seed: int):
+    def __init__(self, words: list[str], seed: int, layout: str | None = None):
         self.words, self.rng = words, np.random.default_rng(seed)
+        self.wanted, self.layout = layout, layout or "named"
 
     def pick(self, options):
         return options[int(self.rng.integers(len(options)))]
@@ -383,14 +441,20 @@ class PageMaker:
         return entities.escape(out) + self.pick(["", ".", ".", ".", "!", "?"])
 
     def named(self, tag: str, names: str, inner: str) -> str:
+        if self.layout != "named" and tag in SEMANTIC:
+            tag = "div"
+        if self.layout in ("bare", "table"):
+            return f"<{tag}>{inner}</{tag}>"
+        if self.layout == "strange":
+            names = "".join(chr(97 + int(x)) for x in self.rng.integers(26, size=int(self.rng.integers(1, 6))))
         kind = self.pick(["class", "class", "class", "id"])
         extra = f" {self.pick(NEUTRAL)}" if kind == "class" and self.rng.random() < 0.2 else ""
         return f'<{tag} {kind}="{names}{extra}">{inner}</{tag}>'
 
     def wrapped(self, inner: str) -> str:
         for _ in range(int(self.rng.integers(0, 3))):
-            tag = self.pick(["div", "div", "section"])
-            inner = f'<{tag} class="{self.pick(NEUTRAL)}">{inner}</{tag}>' if self.rng.random() < 0.7 else f"<{tag}>{inner}</{tag}>"
+            tag = self.pick(["div", "div", "section"]) if self.layout == "named" else "div"
+            inner = f'<{tag} class="{self.pick(NEUTRAL)}">{inner}</{tag}>' if self.rng.random() < 0.7 and self.layout == "named" else f"<{tag}>{inner}</{tag}>"
         return inner
 
     def inline(self, text: str) -> str:
@@ -422,9 +486,11 @@ class PageMaker:
             inner = (f"<h1>{self.text(1, 5)}</h1>" if r < 0.3 else f"<a href='/'>{self.text(1, 4)}</a>") + (f"<p>{self.text(2, 10)}</p>" if r < 0.5 else "")
         elif kind == "footer":
             inner = self.pick(["", "<p>"]) + f"&copy; {self.text(1, 25)}" + (self.links() if r < 0.3 else "")
+        elif self.layout != "named":  # without a telling name only links tell such a part from the article
+            inner = (f"<h3>{self.text(1, 4)}</h3>" if r < 0.4 else "") + (self.links() if r < 0.7 else f'{self.text(2, 12)} <a href="/y">{self.text(2, 6)}</a>')
         else:
             inner = (f"<h3>{self.text(1, 4)}</h3>" if r < 0.4 else "") + (self.text(2, 30) if r < 0.4 else self.links() if r < 0.6 else prose)
-        if tag in ("nav", "header", "footer", "aside", "form") and self.rng.random() < 0.5:
+        if self.layout == "named" and tag in ("nav", "header", "footer", "aside", "form") and self.rng.random() < 0.5:
             return f"<{tag}>{inner}</{tag}>"
         return self.named(tag, self.pick(names), inner)
 
@@ -432,7 +498,7 @@ class PageMaker:
         keep = lambda low, high: KEEP + self.inline(self.text(low, high))
         out = [f"<h1>{keep(2, 12)}</h1>"] if self.rng.random() < 0.85 else []
         if out and self.rng.random() < 0.15:
-            out = [f"<header>{out[0]}</header>"]
+            out = [f"<header>{out[0]}</header>"] if self.layout == "named" else out
         for _ in range(int(self.rng.integers(1, 14))):
             r = self.rng.random()
             if r < 0.68:
@@ -461,16 +527,25 @@ class PageMaker:
         r = self.rng.random()
         if r < 0.12:
             return inner
-        if tag in ("article", "main") and r < 0.6:
+        if self.layout == "named" and tag in ("article", "main") and r < 0.6:
             return f"<{tag}>{inner}</{tag}>"
         return self.named(tag, self.pick(names), inner)
 
     def page(self) -> str:
+        self.layout = self.wanted or str(self.rng.choice(list(LAYOUTS), p=list(LAYOUTS.values())))
         before = [self.wrapped(self.part(k)) for k, chance in (("notice", 0.25), ("header", 0.55), ("menu", 0.75), ("form", 0.25), ("advert", 0.4), ("menu", 0.15)) if self.rng.random() < chance]
         after = [self.wrapped(self.part(k)) for k, chance in (("share", 0.2), ("comments", 0.4), ("sidebar", 0.45), ("advert", 0.25), ("form", 0.15), ("notice", 0.15), ("footer", 0.75)) if self.rng.random() < chance]
         self.rng.shuffle(before)
         if self.rng.random() < 0.2:
             before.append(self.wrapped(self.part("sidebar")))
+        if self.layout == "table":
+            rows = [f"<tr><td>{x}</td></tr>" for x in before]
+            beside = [f"<td>{after.pop(int(self.rng.integers(len(after))))}</td>" for _ in range(int(self.rng.integers(0, 2))) if after]
+            if rows and self.rng.random() < 0.5:
+                beside.insert(0, rows.pop().removeprefix("<tr>").removesuffix("</tr>"))
+            middle = [*beside, f"<td>{self.main()}</td>"] if self.rng.random() < 0.5 else [f"<td>{self.main()}</td>", *beside]
+            rows += ["<tr>" + "".join(middle) + "</tr>", *(f"<tr><td>{x}</td></tr>" for x in after)]
+            return "<html><body><table>" + "".join(rows) + "</table></body></html>"
         return "<html><head><title>x</title></head><body>" + self.wrapped("".join(before) + self.wrapped(self.main()) + "".join(after)) + "</body></html>"
 
 

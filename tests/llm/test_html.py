@@ -2,6 +2,8 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from quarrylight.llm import html
 from quarrylight.llm.queries import op2_html_text
@@ -15,6 +17,11 @@ def model(spark):
     return html.fit(pages, SMALL)
 
 
+@pytest.fixture(scope="module")
+def full_model(spark):
+    return html.fit(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+
+
 def test_blocks():
     page = "<html><head><title>no</title><style>p{}</style></head><body><!-- <p>no</p> --><p>One &amp; <b>two</b>\n three<br>four<p>Five</p><script>var a='</p>';</script>tail<div>a<ul><li>x<li>y</ul>b</div>"
     assert [b.text for b in html.parse(page)] == ["One & two three four", "Five", "tail", "a", "x", "y", "b"]
@@ -63,16 +70,67 @@ def test_gradients_match_differences():
             assert abs((up - down) / (2 * step) - grads[name].ravel()[at]) < 2e-3
 
 
-def test_held_out_layouts(model):
-    maker = html.PageMaker(["amber", "stone", "river", "cloud", "maple", "ember"], 1234)
+@pytest.mark.parametrize("layout", [None, *html.LAYOUTS])
+def test_held_out_layouts(full_model, layout):
+    maker = html.PageMaker(["amber", "stone", "river", "cloud", "maple", "ember"], 1234, layout)
     parsed = [html.parse(maker.page()) for _ in range(150)]
     labels = [[b.text.startswith(html.KEEP) for b in p] for p in parsed]
     for b in (b for p in parsed for b in p):
         b.text = b.text.replace(html.KEEP, "") or "x"
-    right = np.concatenate([(c >= 0.5) == np.array(a) for a, c in zip(labels, html.label_pages(parsed, model, SMALL), strict=True)])
+    right = np.concatenate([(c >= 0.5) == np.array(a) for a, c in zip(labels, html.label_pages(parsed, full_model, html.Settings()), strict=True)])
     assert right.mean() > 0.95
 
 
+def test_pages_without_names(full_model):
+    """Menus and the line of the copyright by what they are, not by what they are called."""
+    text = "<h1>The old mill</h1>" + "<p>The amber river ran slowly past the old stone mill, and maple leaves fell on it all day long.</p>" * 4
+    menu = "<a href=/>Home</a> <a href=/a>About</a> <a href=/n>News</a>"
+    for page in (f"<div>{menu}</div><div>{text}</div><div>Copyright 2024 by the mill</div>", f"<table><tr><td>{menu}</td></tr><tr><td>{text}</td></tr></table>"):
+        blocks = html.parse(page)
+        kept = [b.text for b, c in zip(blocks, html.label_pages([blocks], full_model, html.Settings())[0], strict=True) if c >= 0.5]
+        assert "Home About News" not in kept and sum("amber river" in x for x in kept) == 4
+
+
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        ("<p>a <a href=x'y>b</a> c</p>", ["a b c"]), ("<p title=it's>hello</p>", ["hello"]), ("<p title=\"a>b\">c</p>", ["c"]), ("<p a='>' b=\">\" c = d>e</p>", ["e"]),
+        ("<p x=\"never closed>one</p><p>two</p>", ["one", "two"]), ("a<!-->b<!--->c<!-- > -->d<!-- x --!>e", ["abcde"]), ("<!doctype html><?xml a?></ x>t", ["t"]),
+        ("<p =a=b>c<p/>d", ["c", "d"]), ("1 < 2 <3 and a<b", ["1 < 2 <3 and a<b"]), ("<p a=b/>c", ["c"]), ("<script>a</scripty>b</script >c", ["c"]), ("x &#x0000000041;&#00000066; &#99999999999; &#x110000;", ["x AB \ufffd \ufffd"]),
+    ],
+)
+def test_tags_by_the_standard(page, blocks):
+    assert [b.text for b in html.parse(page)] == blocks
+
+
+def test_long_broken_markup_in_linear_time():
+    import time
+
+    pages = ["<a " * 350_000, '<a "' * 250_000, "<! " * 350_000, "</ " * 350_000, "<a x='" * 170_000, '<a x=">" ' * 110_000, "<a x=\"1\" " * 100_000 + '<a y=">', "<!--" * 250_000, "</script " * 110_000, "<script>" + "</script " * 110_000, "&#" + "1" * 1_000_000, "class=" * 170_000, "<p " + "class " * 170_000 + ">x"]
+    for page in pages:
+        began = time.process_time()
+        html.parse(page)
+        assert time.process_time() - began < 5, page[:20]
+
+
+class Texts(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.text = []
+
+    def handle_data(self, data):
+        self.text.append(data)
+
+
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<b x=1>", "</b>", "<i y='a>b'>", "<i z=\"c'd\">", "<br/>", "<hr a = b >", "word", " ", "&amp;", "é", "<!-- c > -->", "<u v=it's>", "<p w>", "<p / q=1>", "1 < 2"]), max_size=25))
+def test_same_text_as_another_parser(parts):
+    page = "".join(parts)
+    other = Texts()
+    other.feed(page)
+    other.close()
+    assert "".join("".join(b.text.split()) for b in html.parse(page)) == "".join("".join(other.text).split())
+
+
 class Reader(HTMLParser):
     """The blocks of the article by the standard library's parser."""
 
