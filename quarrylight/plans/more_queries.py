@@ -13,9 +13,10 @@ from pyspark.sql.functions import pandas_udf
 
 from quarrylight.operators import measures, sync, temporal
 from quarrylight.plans import monitoring, rules
-from quarrylight.plans.queries import _CUR, _FILE_LINE, _SRC, ORACLES, _current, _log_folder, _query, _read, _read_kinds, _source
+from quarrylight.plans.queries import _CUR, _FILE_LINE, _SRC, ORACLES, _current, _query, _read, _read_kinds, _source, activities, notifications
 from quarrylight.sources import tables
 from quarrylight.sources.writers import shared_folder
+from quarrylight.streaming import feeds as live
 from quarrylight.streaming import stateful
 
 GAP, DELAY = "12 hours", "1 hour"
@@ -134,6 +135,21 @@ def error_last_view(spark, d):
     return out.select("error_id", "user_id", "view_id", (us("error_ts") - us("view_ts")).alias("age_us"))
 
 
+@_query("system_refresh", "SELECT 'activity' AS source, true AS fresh, count(*) AS n FROM events UNION ALL SELECT 'notifications', true, count(*) FROM events WHERE event_type = 'error' UNION ALL SELECT 'stats', false, 1")
+def system_refresh(spark, d):
+    """A round of polling over three sources, of which the statistics can't be read and fall back to zeros."""
+    folder = _folder(spark, "refresh")
+    sources = {
+        "activity": lambda: activities(spark, d),
+        "notifications": lambda: notifications(spark, d),
+        "stats": lambda: spark.read.parquet(f"{folder}/no-such-source"),
+    }
+    nothing = {"activity": activities(spark, d).limit(0), "notifications": notifications(spark, d).limit(0), "stats": spark.createDataFrame([(0, 0, 0, 0)], "supportQueries long, activeLogs long, detectedIssues long, kbArticles long")}
+    told = live.refresh_sources(sources, nothing, lambda name, rows: rows.write.mode("overwrite").parquet(f"{folder}/{name}"))
+    counts = [spark.read.parquet(f"{folder}/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("source"), "n") for name in sources]
+    return told.join(counts[0].unionAll(counts[1]).unionAll(counts[2]), "source").select("source", "fresh", "n")
+
+
 _LASTS = "CAST(json_extract_string(props, '$.k') AS BIGINT) * 60000000"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +55,23 @@ def refresh(stream: DataFrame, replace: Callable[[DataFrame, int], None], checkp
 
     writer = stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(each)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL)).start()
+
+
+def refresh_sources(sources: dict[str, Callable[[], DataFrame]], defaults: dict[str, DataFrame], replace: Callable[[str, DataFrame], None]) -> DataFrame:
+    """One round of polling: every source is read and handed to `replace` as its new snapshot, all at a time; the round
+    ends when all have. A source that fails, wherever it does, is replaced by its default, and the others don't notice.
+
+    The result has a row for each source: its name, whether it is fresh, and the problem otherwise."""
+
+    def one(name: str) -> tuple[str, bool, str | None]:
+        try:
+            replace(name, sources[name]())
+        except Exception as e:  # noqa: BLE001  whatever goes wrong with one source is its own
+            replace(name, defaults[name])
+            return name, False, type(e).__name__
+        return name, True, None
+
+    with ThreadPoolExecutor(max(1, len(sources))) as pool:
+        told = list(pool.map(one, sources))
+    spark = next(iter(defaults.values())).sparkSession
+    return spark.createDataFrame(told, "source string, fresh boolean, problem string")

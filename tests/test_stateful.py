@@ -122,3 +122,28 @@ def test_restored_setting(spark):
     with stateful.rocksdb(spark):
         assert spark.conf.get(stateful.STORE_SETTING) == stateful.ROCKSDB
     assert spark.conf.get(stateful.STORE_SETTING) == before
+
+
+def test_sources_fail_apart(spark):
+    """A source that can't be opened and one whose rows can't be computed fall back; the third is fresh; replacing runs at a time."""
+    import threading
+
+    ok = spark.range(3)
+    meeting = threading.Barrier(3, timeout=60)
+    kept = {}
+
+    def replace(name, rows):
+        if name not in kept:
+            kept[name] = None
+            meeting.wait()
+        kept[name] = len(rows.collect())
+
+    def broken():
+        meeting.wait()
+        kept["gone"] = None
+        return spark.read.parquet("/no/such/place")
+
+    sources = {"ok": lambda: ok, "late": lambda: ok.select(F.raise_error(F.lit("no")).alias("id")), "gone": broken}
+    told = feeds.refresh_sources(sources, {n: ok.limit(1) for n in sources}, replace)
+    assert {r.source: r.fresh for r in told.collect()} == {"ok": True, "late": False, "gone": False}
+    assert kept == {"ok": 3, "late": 1, "gone": 1}
