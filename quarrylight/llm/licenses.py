@@ -90,8 +90,19 @@ NOTICES = [
     ("cc-by", "licensed under cc by 4 0", ["licensed", "cc", "4 0"]),
     ("cc0", "cc0 1 0 universal public domain dedication", ["cc0"]),
     ("cc0", "has waived all copyright and related or neighboring rights", ["waived", "neighboring rights"]),
+    ("gpl-2", "as published by the free software foundation version 2 of the license", ["published", "free software foundation version 2 of the license"]),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1", ["gnu lesser general public license version 2 1"]),
+    ("lgpl-2", "gnu library general public license version 2", ["gnu library general public license version 2"]),
 ]
 
+#: Identifiers of the SPDX list, as words, by label; those of "only" and "or later" begin alike.
+SPDX = {
+    "mit": "mit", "apache-2": "apache 2 0", "gpl-2": "gpl 2 0", "gpl-3": "gpl 3 0", "lgpl-2.1": "lgpl 2 1", "lgpl-3": "lgpl 3 0", "agpl-3": "agpl 3 0", "mpl-2": "mpl 2 0", "mpl-1.1": "mpl 1 1",
+    "epl-1": "epl 1 0", "epl-2": "epl 2 0", "cddl-1": "cddl 1 0", "eupl-1.2": "eupl 1 2", "bsd": "bsd 2 clause", "bsd-3": "bsd 3 clause", "isc": "isc", "zlib": "zlib", "boost-1": "bsl 1 0", "unlicense": "unlicense",
+    "wtfpl": "wtfpl", "artistic-2": "artistic 2 0", "ofl-1.1": "ofl 1 1", "cc-by": "cc by 4 0", "cc-by-sa": "cc by sa 4 0", "cc-by-nd": "cc by nd 4 0", "cc-by-nc": "cc by nc 4 0", "cc0": "cc0 1 0",
+}
+NOTICES += [(label, f"spdx license identifier {name}", [f"spdx license identifier {name}"]) for label, name in SPDX.items()]
+
 #: Words of the notices that say nothing about a licence.
 STOP_WORDS = "a all and any are as at be by can do for from has if in into is it its made may met must no nor not of or person that the this to under use used want was what will with without work you your either following".split()
 

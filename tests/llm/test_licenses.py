@@ -2,6 +2,8 @@ import math
 import random
 import re
 
+import pytest
+
 from quarrylight.llm import licenses
 
 
@@ -127,3 +129,15 @@ def test_no_python_on_the_executors(small_docs):
     for frame in (licenses.licence_words(small_docs), licenses.scan(small_docs)):
         plan = frame._jdf.queryExecution().optimizedPlan().toString() + frame._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "InArrow", "InPandas", "Exchange"))
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("// SPDX-License-Identifier: MIT", "mit"), ("/* SPDX-License-Identifier: GPL-3.0-only */", "gpl-3"), ("# SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl-2.1"), ("SPDX-License-Identifier: BSD-3-Clause\nint x;", "bsd-3"),
+        ("GNU Lesser General Public License, version 2.1", "lgpl-2.1"), ("This library is free under the GNU Library General Public License, version 2.", "lgpl-2"), ("the license identifier is mit", ""), ("SPDX identifier: MIT", ""),
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.", "gpl-2"),
+    ],
+)
+def test_identifiers_and_headers(spark, text, label):
+    assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == label
