@@ -20,12 +20,20 @@ the join drops. Neighbouring hits of a document become one segment with the word
 equal segments, as copies have them, are verified once. All shifts between a segment and an item are verified together, so
 a repetitive text is laid beside an item once.
 
+A passage that many items share, such as a prompt, would bring every document that holds it to every one of these items. So a
+seed of more than HOT items makes no pairs. The windows around its hits are compared instead, each content once, by
+what is left of them when as many words are taken out as may be substituted: two windows have such a rest in common
+exactly if they are within the bound. The pairs that meet are thus the results, however many items share a passage.
+
 Defined results: null and empty texts and items without words hold nothing; repeated rows of one key are reported once;
 an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import cache
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +43,10 @@ from quarrylight.llm.common import ALNUM, chunks, cut, mix64, word_hashes
 
 MASKS = ("1111011", "11001111", "111111", "11110101")
 WINDOW, SHORTEST = 16, 8
+#: A seed of more items than these finds its documents by whole windows.
+HOT = 64
 _BITS_MAX = 28
+_SHORTEST_MASK = min(map(len, MASKS))
 
 
 def allowed(window: int) -> int:
@@ -102,16 +113,20 @@ def bitmap(seeds: DataFrame) -> tuple[np.ndarray, int]:
     return out.view(np.uint8), bits
 
 
+def _holds(filter_bits: tuple[np.ndarray, int], hashes: np.ndarray) -> np.ndarray:
+    """The places of the hashes that the bitmap holds."""
+    bits_set, bits = filter_bits
+    high, low = _slots(hashes, bits)
+    held = lambda slots: (bits_set[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    at = np.flatnonzero(held(high))
+    return at[held(low[at])]
+
+
 def segments(docs: DataFrame, filter_bits: tuple[np.ndarray, int], masks: list[tuple[int, str]], keys: tuple[str, ...] = ("doc_id",), context: int = WINDOW) -> DataFrame:
     """The keys, start and words of each stretch around possible hits, with the hits' hashes and places in it."""
     shared = docs.sparkSession.sparkContext.broadcast(filter_bits)
 
     def run(batches):
-        bitmap, bits = shared.value
-
-        def holds(slots):
-            return (bitmap[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
         for batch in batches:
             out = []
             for rows, data in chunks(range(batch.num_rows), batch.column(0)):
@@ -121,9 +136,7 @@ def segments(docs: DataFrame, filter_bits: tuple[np.ndarray, int], masks: list[t
                 hits = [np.empty((4, 0), dtype=np.int64)]
                 for k, mask in masks:
                     hashes = masked_hashes(words, mask, k)
-                    high, low = _slots(hashes, bits)
-                    at = np.flatnonzero(holds(high))
-                    at = at[holds(low[at])]
+                    at = _holds(shared.value, hashes)
                     doc = np.searchsorted(bounds, at, side="right") - 1
                     whole = at + len(mask) <= bounds[doc + 1]
                     hits.append(np.stack([at[whole], hashes[at[whole]].view(np.int64), doc[whole], at[whole] + len(mask)]))
@@ -161,9 +174,95 @@ def best_window(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int,
     return (int(wrong[k]), low + k) if wrong[k] <= allowed(window) else None
 
 
-def contaminated(docs: DataFrame, items: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def windows_around(texts: DataFrame, lengths: list[int] | None = None) -> DataFrame:
+    """The windows that hold a hot seed: name, place, window (its words).
+
+    texts: name, words, places (of hot seeds). An item's windows are of WINDOW words, or the whole item if it is shorter; for
+    documents `lengths` tells the windows to cut."""
+
+    def run(batches):
+        for batch in batches:
+            for name, words, places in zip(*(batch.column(k) for k in range(3)), strict=True):
+                own, at = words.values.to_numpy(), np.unique(places.values.to_numpy())
+                for window in lengths or [min(len(own), WINDOW)]:
+                    if len(own) < window:
+                        continue
+                    near = np.unique((at[:, None] - np.arange(window - _SHORTEST_MASK + 1)).ravel())
+                    near = near[(near >= 0) & (near <= len(own) - window)]
+                    cuts = np.lib.stride_tricks.sliding_window_view(own, window)
+                    for k in range(0, len(near), 10_000):
+                        some = near[k : k + 10_000]
+                        ends = np.arange(len(some) + 1, dtype=np.int32) * window
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(some), name.as_py(), dtype=np.int64)), pa.array(some), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cuts[some].ravel()))],
+                            names=["name", "place", "window"],
+                        )
+
+    return texts.select("name", "words", "places").mapInArrow(run, "name long, place long, window array<long>")
+
+
+@cache
+def _taken_out(window: int) -> np.ndarray:
+    """All choices of as many places of a window as may be substituted."""
+    return np.array(list(combinations(range(window), allowed(window))), dtype=np.int64).reshape(-1, allowed(window))
+
+
+def rests(window: np.ndarray) -> np.ndarray:
+    """A hash of what is left of a window, for each choice of words that are taken out."""
+    out = _taken_out(len(window))
+    terms = window.view(np.uint64) * _KEYS[: len(window)]
+    left = terms.sum() - terms[out].sum(axis=1)
+    return mix64(left + np.arange(len(out), dtype=np.uint64) * _KEYS[20] + _KEYS[len(window)])
+
+
+def window_rests(windows: DataFrame, filter_bits: tuple[np.ndarray, int] | None = None) -> DataFrame:
+    """window_id and seed, a hash of a rest; only those that the bitmap holds, if there is one."""
+    shared = windows.sparkSession.sparkContext.broadcast(filter_bits)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
+                hashes = [rests(w.values.to_numpy()) for w in some.column(1)]
+                if shared.value is not None:
+                    hashes = [h[_holds(shared.value, h)] for h in hashes]
+                ids = np.repeat(some.column(0).to_numpy(), [len(h) for h in hashes])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(hashes).view(np.int64))], names=["window_id", "seed"])
+
+    return windows.select("window_id", "window").mapInArrow(run, "window_id long, seed long")
+
+
+def shared_windows(hits: DataFrame, contents: DataFrame, seeds: DataFrame, seeded: DataFrame, hot: DataFrame) -> DataFrame:
+    """The best window of a segment and an item around the seeds in `hot`, as `verified` in `contaminated` has it."""
+
+    def cut_around(places, texts, name, lengths=None):
+        around = places.join(hot, "seed", "left_semi").groupBy(name).agg(F.collect_set("place").alias("places"))
+        named = around.join(texts.select(name, "words"), name).select(F.col(name).alias("name"), "words", "places")
+        return cut(windows_around(named, lengths).withColumn("window_id", F.xxhash64("window")))
+
+    of_items = cut_around(seeds.select("item_id", "seed", F.col("item_place").alias("place")), seeded, "item_id")
+    lengths = [r["n"] for r in of_items.select(F.size("window").alias("n")).distinct().orderBy("n").collect()]  # at most nine
+    of_docs = cut_around(hits, contents, "segment", lengths)
+    item_windows, doc_windows = (w.groupBy("window_id").agg(F.first("window").alias("window")) for w in (of_items, of_docs))
+    item_rests = cut(window_rests(item_windows))
+    doc_rests = window_rests(doc_windows, bitmap(item_rests))
+    met = doc_rests.withColumnRenamed("window_id", "doc_window").join(item_rests.withColumnRenamed("window_id", "item_window"), "seed").select("doc_window", "item_window").distinct()
+    both = met.join(doc_windows.select(F.col("window_id").alias("doc_window"), F.col("window").alias("own")), "doc_window").join(
+        item_windows.select(F.col("window_id").alias("item_window"), F.col("window").alias("wanted")), "item_window"
+    )
+    wrong = F.size(F.filter(F.zip_with("own", "wanted", lambda a, b: a != b), lambda x: x))
+    bound = F.element_at(F.array(*(F.lit(allowed(n)) for n in range(1, WINDOW + 1))), F.size("wanted"))
+    close = both.withColumn("substitutions", wrong.cast("long")).filter((F.size("own") == F.size("wanted")) & (F.col("substitutions") <= bound))
+    # a window's content fixes the substitutions, so each side takes its first place before the sides meet
+    placed = close.join(of_docs.select(F.col("window_id").alias("doc_window"), F.col("name").alias("segment"), "place"), "doc_window")
+    firsts = placed.groupBy("segment", "item_window").agg(F.min(F.struct("substitutions", "place")).alias("w"))
+    items = of_items.groupBy(F.col("window_id").alias("item_window"), F.col("name").alias("item_id")).agg(F.min("place").alias("item_start"), F.first(F.size("window")).cast("long").alias("window"))
+    return firsts.join(items, "item_window").select("segment", "item_id", "w.substitutions", "w.place", "item_start", "window")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, keys: tuple[str, ...] = ("doc_id",), hot_items: int = HOT) -> DataFrame:
     """One row for each document and item that it holds, with the best window: fewest substitutions,
-    then first in the document, then first in the item. Columns: the keys (whole numbers that name a document), item_id,
+    then first in the document, then first in the item. Seeds of more than `hot_items` items are looked up by whole windows. Columns: the keys (whole numbers that name a document), item_id,
     substitutions, doc_start and item_start (in words from 0), window (words)."""
     seeded = cut(item_seeds(items))
     lengths = [r["n"] for r in seeded.select(F.least(F.size("words"), F.lit(SHORTEST)).alias("n")).distinct().orderBy("n").collect()]  # at most 8
@@ -171,7 +270,11 @@ def contaminated(docs: DataFrame, items: DataFrame, keys: tuple[str, ...] = ("do
     found = cut(segments(docs, bitmap(seeds), [m for n in lengths for m in masks_of(n)], keys).withColumn("segment", F.xxhash64("words", "seeds", "places")))
     contents = found.groupBy("segment").agg(F.first("words").alias("words"), F.first("seeds").alias("seeds"), F.first("places").alias("places"))
     hits = contents.select("segment", F.explode(F.arrays_zip("seeds", "places")).alias("z")).select("segment", F.col("z.seeds").alias("seed"), F.col("z.places").alias("place"))
-    shifts = hits.join(seeds, "seed").groupBy("segment", "item_id").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("shifts"))
+    masked = seeds.join(seeded.filter(F.size("words") >= SHORTEST).select("item_id"), "item_id", "left_semi")  # shorter items' seeds are the whole items
+    hot = cut(masked.groupBy("seed").agg(F.count_distinct("item_id").alias("items")).filter(F.col("items") > hot_items).select("seed"))
+    any_hot = not hot.isEmpty()
+    cold = seeds.join(hot, "seed", "left_anti") if any_hot else seeds
+    shifts = hits.join(cold, "seed").groupBy("segment", "item_id").agg(F.collect_set(F.col("place") - F.col("item_place")).alias("shifts"))
     laid = shifts.join(contents.select("segment", "words"), "segment").join(seeded.select("item_id", F.col("words").alias("item")), "item_id")
 
     def verify(batches):
@@ -186,6 +289,8 @@ def contaminated(docs: DataFrame, items: DataFrame, keys: tuple[str, ...] = ("do
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["segment", "item_id", "substitutions", "place", "item_start", "window"])
 
     verified = laid.select("segment", "item_id", "shifts", "words", "item").mapInArrow(verify, "segment long, item_id long, substitutions long, place long, item_start long, window long")
+    if any_hot:
+        verified = verified.unionByName(shared_windows(hits, contents, seeds, seeded, hot))
     best = verified.groupBy("segment", "item_id").agg(F.min(F.struct("substitutions", "place", "item_start", "window")).alias("w"))
     placed = found.select("segment", *keys, "start").join(best, "segment")
     return (

@@ -104,3 +104,35 @@ def test_odd_rows(spark, odd, nothing):
     assert [r.doc_id for r in decontam.contaminated(odd, items).collect()] == [6]
     assert decontam.contaminated(nothing, items).count() == 0
     assert decontam.contaminated(odd, items.limit(0)).count() == 0
+
+
+def test_rests_meet_exactly_within_the_bound():
+    rng = np.random.default_rng(3)
+    for n in (8, 11, 12, 15, 16):
+        window = rng.integers(1 << 60, size=n)
+        for wrong in range(6):
+            other = window.copy()
+            other[rng.permutation(n)[:wrong]] += 1
+            assert bool(np.intersect1d(decontam.rests(window), decontam.rests(other)).size) == (wrong <= decontam.allowed(n))
+
+
+@pytest.mark.parametrize("prompt_words", [8, 12, 13, 20])
+def test_many_items_with_one_prompt(spark, prompt_words):
+    """Hot seeds are looked up by whole windows; the rows are those of brute force, however long the shared passage is."""
+    rng = np.random.default_rng(prompt_words)
+    pool = [f"w{k}" for k in range(60)]
+    say = lambda n: " ".join(pool[k] for k in rng.integers(len(pool), size=n))
+    prompt = say(prompt_words)
+    items = [(k, f"{prompt} {say(int(n))}") for k, n in enumerate(rng.integers(0, 12, size=25))] + [(30, say(9)), (31, f"{say(8)} {prompt}"), (32, "w1 w2")]
+    docs = [(k, f"{say(int(rng.integers(0, 20)))} {prompt} {say(int(rng.integers(0, 20)))}") for k in range(25)]
+    for k in range(40):
+        text = items[k % len(items)][1].split()
+        for at in rng.integers(len(text), size=int(rng.integers(0, 5))):
+            text[at] = "zz"
+        docs.append((100 + k, f"{say(3)} {' '.join(text)} {say(3)}"))
+    docs += [docs[0], (200, f"{prompt} " * 30)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for hot in (3, 1000):
+        got = decontam.contaminated(d, i, hot_items=hot).collect()
+        assert {(r.doc_id, r.item_id): (r.substitutions, r.doc_start, r.item_start, r.window) for r in got} == brute(docs, items)
+        assert len(got) == len({(r.doc_id, r.item_id) for r in got})
