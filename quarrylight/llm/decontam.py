@@ -101,15 +101,15 @@ def item_seeds(items: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "item_id long, words array<long>, seeds array<long>, places array<long>")
 
 
-def bitmap(seeds: DataFrame) -> tuple[np.ndarray, int]:
-    """A bitmap of the hashes in column `seed`: 64 bits for each at first, at most 32 MB in all."""
+def bitmap(seeds: DataFrame, each: int = 64) -> tuple[np.ndarray, int]:
+    """A bitmap of the hashes in column `seed`: `each` bits for one at first, at most 32 MB in all."""
     n = seeds.count()
-    bits = int(min(_BITS_MAX, max(16, np.ceil(np.log2(max(1, n) * 64)))))
+    bits = int(min(_BITS_MAX, max(16, np.ceil(np.log2(max(1, n) * each)))))
     places = seeds.select(F.explode(F.array(F.shiftrightunsigned("seed", 64 - bits), F.col("seed").bitwiseAND((1 << bits) - 1))).alias("slot"))
     words = places.groupBy(F.shiftrightunsigned("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("word"))
     out = np.zeros(1 << (bits - 6), dtype=np.int64)
-    for row in words.toLocalIterator():  # at most 2^22 numbers
-        out[row["at"]] = row["word"]
+    for batch in words.toArrow().to_batches():  # at most 2^22 pairs of numbers
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     return out.view(np.uint8), bits
 
 
@@ -245,7 +245,7 @@ def shared_windows(hits: DataFrame, contents: DataFrame, seeds: DataFrame, seede
     of_docs = cut_around(hits, contents, "segment", lengths)
     item_windows, doc_windows = (w.groupBy("window_id").agg(F.first("window").alias("window")) for w in (of_items, of_docs))
     item_rests = cut(window_rests(item_windows))
-    doc_rests = window_rests(doc_windows, bitmap(item_rests))
+    doc_rests = window_rests(doc_windows, bitmap(item_rests, 8))  # a false hit costs one row
     met = doc_rests.withColumnRenamed("window_id", "doc_window").join(item_rests.withColumnRenamed("window_id", "item_window"), "seed").select("doc_window", "item_window").distinct()
     both = met.join(doc_windows.select(F.col("window_id").alias("doc_window"), F.col("window").alias("own")), "doc_window").join(
         item_windows.select(F.col("window_id").alias("item_window"), F.col("window").alias("wanted")), "item_window"
