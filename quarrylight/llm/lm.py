@@ -13,10 +13,12 @@ up the counts of all blocks and answers each block with the totals of what it as
 value for each block and bucket, as the compressed steps of a rising sequence, and the answer comes back in their order. From the answers each block builds
 the automaton of its own n-grams, which is all that its documents can visit, with weights that come from the whole
 corpus. What is gathered grows in proportion to the corpus, and so do the numbers of buckets and tasks; a frequent n-gram
-costs one entry of a few bytes for each block, in its bucket, however often it occurs.
+costs one entry of a few bytes for each block, in its bucket, however often it occurs. Blocks times buckets grow as the square
+of the corpus, so beyond DIRECT buckets groups of blocks ask together: a relay unites what the blocks of a group want to know
+of a range of buckets, asks each bucket once, and splits the answers. A block and a relay each send some sqrt(buckets) rows.
 
-Words are runs of bytes other than ASCII white space, A-Z lower-cased, and are known by 64-bit hashes; longer n-grams
-by 36 bits of theirs beside the number of their bucket. Each document ends with one end token. Histories don't reach across documents.
+Words are runs of bytes other than ASCII white space, A-Z lower-cased, and are known by 64-bit hashes; longer n-grams by at
+least 48 bits of theirs beside the number of their bucket, which from 65,536 buckets (0.5 TB) on is all of the hash. Each document ends with one end token. Histories don't reach across documents.
 
 Defined results: a null or empty text is the end token alone; repeated rows are scored each and counted
 each in training; an empty table gives no rows; other columns are ignored; without training rows all
@@ -30,17 +32,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylight.llm.common import SPACED, cut, mix64, word_hashes
+from quarrylight.llm.common import SPACED, cut, mix64, passing_shuffles, word_hashes
 
 END = np.uint64(0x5BD1E995A5A5F00D)
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 TEXT_LEVEL = 5
+DIRECT = 4096
+BESIDE = 48
 ADD, CONCENTRATION = 0.1, 4.0
 _KEYS = mix64(np.arange(101, 110, dtype=np.uint64)) | np.uint64(1)
 
@@ -120,10 +125,51 @@ def unrising(data) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(places.T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def cut_bits(n: int, buckets: int) -> int:
+    """How many low bits of an n-gram's hash don't travel: none of a word's (n = 0); of longer ones as many as leave BESIDE bits
+    within a bucket. A bucket holds some two million n-grams, so one in 100 million at most shares its number, at every size
+    up to that from which the whole hash travels."""
+    return max(0, 64 - BESIDE - (buckets - 1).bit_length()) if n else 0
+
+
 def known_as(hashes: np.ndarray, n: int, buckets: int) -> np.ndarray:
-    """The number by which a bucket knows an n-gram: all of a word's hash (n = 0), of longer ones the upper bits, 36 and those
-    that the bucket fixes, so that chance meetings in a bucket stay as rare (one n-gram in 50,000 at most) at every size."""
-    return hashes >> np.uint64(max(0, 28 - (buckets.bit_length() - 1)) if n else 0)
+    """The number by which a bucket knows an n-gram."""
+    return hashes >> np.uint64(cut_bits(n, buckets))
+
+
+def united(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers of several lists, sorted, their total counts, and the place of each entry among them."""
+    distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
+    return distinct, np.bincount(place, np.concatenate(counts), minlength=len(distinct)).astype(np.int64), place
+
+
+ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+ANSWERED = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary()), ("size", pa.int64()), ("distinct", pa.int64())])
+
+
+def columns(rows: list[tuple], schema: pa.Schema) -> list[pa.Array]:
+    return [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)]
+
+
+def dealt(asker: int, n: int, numbers: np.ndarray, counts: np.ndarray, ranges: np.ndarray) -> list[tuple]:
+    """A row for each range, ranges being that of each number, which rise."""
+    begins = np.r_[0, np.flatnonzero(np.diff(ranges)) + 1, len(ranges)].tolist()
+    return [(int(ranges[a]), asker, n, rising(numbers[a:b]), pressed(small(counts[a:b]))) for a, b in zip(begins[:-1], begins[1:], strict=True) if b > a]
+
+
+def asked_of(table: pa.Table, n: int) -> list[tuple]:
+    """bucket, asker, numbers and counts of the rows for n-grams of one length."""
+    of_n = table.filter(pa.compute.equal(table.column("n"), n))
+    rows = zip(of_n.column("bucket").to_pylist(), of_n.column("block").to_pylist(), map(unrising, of_n.column("hashes").to_pylist()), of_n.column("counts").to_pylist(), strict=True)
+    return [(bucket, asker, numbers, unsmall(unpressed(counts), len(numbers))) for bucket, asker, numbers, counts in rows]
+
+
+def replies_by_length(answers: pa.Table, order: int) -> list[np.ndarray]:
+    """The totals of all that was asked, in its order, for n-grams of each length."""
+    replies: list[list] = [[] for _ in range(order)]
+    for n, bucket, data, size in zip(*(answers.column(c).to_pylist() for c in ("n", "bucket", "totals", "size")), strict=True):
+        replies[n].append((bucket, data, size))
+    return [np.concatenate([np.empty(0, dtype=np.int64), *(unsmall(unpressed(data), size) for _, data, size in sorted(own, key=lambda x: x[0]))]) for own in replies]
 
 
 BLOCK = T.StructType(
@@ -202,8 +248,9 @@ class Automaton:
         return total
 
 
-def score(docs: DataFrame, order: int = 3, concentration: float = CONCENTRATION, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Score each row of docs (doc_id, text, held_out); rows with held_out false are the training rows."""
+def score(docs: DataFrame, order: int = 3, concentration: float = CONCENTRATION, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, direct: int = DIRECT) -> DataFrame:
+    """Score each row of docs (doc_id, text, held_out); rows with held_out false are the training rows. Up to `direct` buckets are
+    asked by the blocks themselves, more by relays."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
 
     def pack(batches):
@@ -227,9 +274,13 @@ def score(docs: DataFrame, order: int = 3, concentration: float = CONCENTRATION,
         if rows:
             yield block()
 
+    spark = docs.sparkSession
     packed = cut(texts.mapInArrow(pack, BLOCK))
-    size = packed.agg(F.sum("size")).first()[0] or 0
-    buckets = 1 + size // bucket_bytes
+    held = packed.agg(F.sum("size").alias("size"), F.count("*").alias("blocks")).first()
+    buckets = 1 + (held["size"] or 0) // bucket_bytes
+    # A range is what a block sends in one row: a bucket, or as many as there are ranges.
+    width = 1 if buckets <= direct else math.isqrt(buckets - 1) + 1
+    ranges = -(-buckets // width)
 
     def ask(batches):
         for batch in batches:
@@ -239,39 +290,63 @@ def score(docs: DataFrame, order: int = 3, concentration: float = CONCENTRATION,
                 rows = []
                 for n, (hashes, at) in enumerate(zip(grams.hashes, grams.at, strict=True)):
                     counts = np.bincount(at[training & (at >= 0)], minlength=len(hashes))
-                    bounds = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
-                    numbers = known_as(hashes, n, buckets)
-                    for b in np.flatnonzero(np.diff(bounds)).tolist():
-                        part = slice(bounds[b], bounds[b + 1])
-                        rows.append((b, block, n, rising(numbers[part]), pressed(small(counts[part]))))
-                cols = zip(*rows, strict=True)
-                types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["bucket", "block", "n", "hashes", "counts"])
+                    rows += dealt(block, n, known_as(hashes, n, buckets), counts, bucket_of(hashes, buckets) // np.uint64(width))
+                yield pa.RecordBatch.from_arrays(columns(rows, ASKED), schema=ASKED)
 
-    # As many tasks as the text needs, four buckets each, so that none grows with the corpus.
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + buckets // 4)
-    asked = packed.mapInArrow(ask, "bucket int, block long, n int, hashes binary, counts binary").repartition(tasks, "bucket")
+    def unite(table: pa.Table) -> pa.Table:
+        """A relay's questions: those of a group of blocks on a range, each once, by bucket."""
+        relay = table.column("relay")[0].as_py()
+        rows = []
+        for n in range(order):
+            if own := asked_of(table, n):
+                numbers, counts, _ = united([h for _, _, h, _ in own], [c for *_, c in own])
+                rows += dealt(relay, n, numbers, counts, bucket_of(numbers << np.uint64(cut_bits(n, buckets)), buckets))
+        return pa.Table.from_arrays(columns(rows, ASKED), schema=ASKED)
 
     def answer(table: pa.Table) -> pa.Table:
         rows = []
         for n in range(order):
-            own = [(b, unrising(h.as_py()), unpressed(c.as_py())) for b, k, h, c in zip(table.column("block").to_pylist(), table.column("n").to_pylist(), table.column("hashes"), table.column("counts"), strict=True) if k == n]
+            own = asked_of(table, n)
             if not own:
                 continue
-            distinct, place = np.unique(np.concatenate([h for _, h, _ in own]), return_inverse=True)
-            totals = np.bincount(place, np.concatenate([unsmall(c, len(h)) for _, h, c in own]), minlength=len(distinct)).astype(np.int64)
+            _, totals, place = united([h for _, _, h, _ in own], [c for *_, c in own])
             if n == 0:
                 rows.append((-1, n, 0, b"", int(totals.sum()), int((totals > 0).sum())))
             at = 0
-            for block, h, _ in own:
-                rows.append((block, n, table.column("bucket")[0].as_py(), pressed(small(totals[place[at : at + len(h)]])), len(h), 0))
+            for bucket, asker, h, _ in own:
+                rows.append((asker, n, bucket, pressed(small(totals[place[at : at + len(h)]])), len(h), 0))
+                at += len(h)
+        return pa.Table.from_arrays(columns(rows, ANSWERED), schema=ANSWERED)
+
+    def split(table: pa.Table, answers: pa.Table) -> pa.Table:
+        """The answers to a relay, for each of its blocks."""
+        replies, rows = replies_by_length(answers, order), []
+        for n in range(order):
+            own = asked_of(table, n)
+            if not own:
+                continue
+            place, at = united([h for _, _, h, _ in own], [c for *_, c in own])[2], 0
+            for part, block, h, _ in own:
+                rows.append((block, n, part, pressed(small(replies[n][place[at : at + len(h)]])), len(h), 0))
                 at += len(h)
-        cols = zip(*rows, strict=True)
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["block", "n", "bucket", "totals", "size", "distinct"])
+        return pa.Table.from_arrays(columns(rows, ANSWERED), schema=ANSWERED)
 
-    answered = cut(asked.groupBy("bucket").applyInArrow(answer, "block long, n int, bucket int, totals binary, size long, distinct long"))
+    # As many tasks as the text needs, four buckets each, so that none grows with the corpus.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + buckets // 4)
+    asked_as, answered_as = "bucket int, block long, n int, hashes binary, counts binary", "block long, n int, bucket int, totals binary, size long, distinct long"
+    with passing_shuffles(spark):
+        asked = packed.mapInArrow(ask, asked_as)
+        if width > 1:
+            groups = -(-held["blocks"] // width)  # of about `width` blocks each, so that a relay gets what a block sends
+            relay = F.pmod(F.xxhash64("block"), F.lit(groups)) * ranges + F.col("bucket")
+            by_block = cut(asked.withColumn("relay", relay))
+            asked = by_block.repartition(tasks, "relay").groupBy("relay").applyInArrow(unite, asked_as)
+        answered = cut(asked.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(answer, answered_as))
     sums = answered.filter("block = -1").agg(F.sum("size").alias("n"), F.sum("distinct").alias("v")).first()
+    answers = answered.filter("block >= 0")
+    if width > 1:
+        with passing_shuffles(spark):
+            answers = cut(by_block.repartition(tasks, "relay").groupBy("relay").cogroup(answers.withColumn("relay", F.col("block")).groupBy("relay")).applyInArrow(split, answered_as))
     total, vocabulary = sums["n"] or 0, sums["v"] or 0
     floor = math.log10(total + ADD * (vocabulary + 1))
 
@@ -280,10 +355,7 @@ def score(docs: DataFrame, order: int = 3, concentration: float = CONCENTRATION,
         sizes = [len(d) for d in documents]
         grams = Grams(documents, order)
         del documents
-        replies: dict[int, list] = {n: [] for n in range(order)}
-        for n, bucket, data, size in zip(*(answers.column(c).to_pylist() for c in ("n", "bucket", "totals", "size")), strict=True):
-            replies[n].append((bucket, unsmall(unpressed(data), size)))
-        counts = [np.concatenate([np.empty(0, dtype=np.int64), *(c for _, c in sorted(replies[n], key=lambda x: x[0]))]) for n in range(order)]
+        counts = replies_by_length(answers, order)
         automaton = Automaton(grams, counts, total, vocabulary, concentration)
         of_token = counts[0][grams.at[0]]
         base = np.add.reduceat(np.log10(of_token + ADD), grams.begin) - np.array(sizes) * floor
@@ -301,5 +373,4 @@ def score(docs: DataFrame, order: int = 3, concentration: float = CONCENTRATION,
             }
         )
 
-    answers = answered.filter("block >= 0")
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

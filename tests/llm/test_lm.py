@@ -41,6 +41,29 @@ def test_against_the_definition(spark, small_docs, order):
         assert np.allclose(got[key], values, rtol=1e-9)
 
 
+@pytest.mark.parametrize("direct", [1, 4])
+def test_relays_give_the_same(spark, small_docs, direct):
+    """Many buckets and groups of blocks: the same scores as without relays."""
+    from pyspark.sql import functions as F
+
+    rows = small_docs.limit(60).repartition(3).withColumn("held_out", F.col("doc_id") % 4 == 0)
+    rows = rows.select("doc_id", "text", "held_out").checkpoint()
+    plain = sorted(map(tuple, lm.score(rows, block_bytes=3_000, bucket_bytes=500, direct=1 << 30).collect()))
+    relayed = sorted(map(tuple, lm.score(rows, block_bytes=3_000, bucket_bytes=500, direct=direct).collect()))
+    assert len(plain) == 60 and relayed == plain
+
+
+def test_rows_grow_in_proportion():
+    """What a block sends: with relays a row for each range, and no more ranges than the root of the buckets."""
+    hashes = np.unique(np.random.default_rng(2).integers(0, 1 << 64, 500_000, dtype=np.uint64))
+    counts, sizes = np.ones(len(hashes), dtype=np.int64), {}
+    for buckets, width in ((64, 1), (3750, 1), (12_500, 112), (12_500_000, 3536)):
+        rows = lm.dealt(1, 1, lm.known_as(hashes, 1, buckets), counts, lm.bucket_of(hashes, buckets) // np.uint64(width))
+        assert len(rows) == -(-buckets // width)
+        sizes[buckets] = sum(len(r[3]) + len(r[4]) + 20 for r in rows) / len(hashes)
+    assert max(sizes.values()) < 8.5, sizes
+
+
 def test_probabilities_add_up():
     documents = [np.array([1, 2, 1, 3, lm.END], dtype=np.uint64), np.array([1, 2, lm.END], dtype=np.uint64)]
     grams = lm.Grams(documents, 2)
@@ -69,10 +92,13 @@ def test_rising_numbers():
     numbers = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 5000, dtype=np.uint64))
     for some in (numbers, numbers[:1], np.array([0, 0, 7, (1 << 64) - 1], dtype=np.uint64)):
         assert lm.unrising(lm.rising(some)).tolist() == some.tolist()
-    for buckets in (1, 5, 1 << 20, 1 << 30):
+    for buckets in (1, 5, 64, 100, 3750, 1 << 16, 1 << 20, 1 << 30):
         for n in (0, 1):
             known = lm.known_as(numbers, n, buckets)
             assert len(np.unique(known)) == len(numbers) and (np.diff(known.astype(object)) > 0).all()
+            bits = lm.cut_bits(n, buckets)
+            assert (lm.bucket_of(known << np.uint64(bits), buckets) == lm.bucket_of(numbers, buckets)).all()
+            assert bits == 0 or (2**64 / buckets) / 2**bits >= 2**lm.BESIDE
 
 
 def test_better_than_the_base_on_held_out_texts(spark, small_docs):
