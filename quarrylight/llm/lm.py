@@ -28,7 +28,7 @@ counts are zero and words have the probability of the base.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,7 @@ from quarrylight.llm.common import SPACED, cut, mix64, passing_shuffles, word_ha
 END = np.uint64(0x5BD1E995A5A5F00D)
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 TEXT_LEVEL = 5
+STRETCH = 1 << 16  # tokens of a document looked up at a time
 DIRECT = 4096
 BESIDE = 48
 ADD, CONCENTRATION = 0.1, 4.0
@@ -77,11 +78,14 @@ class Grams:
                 for k in range(n):
                     total += self.tokens[ends - (n - 1) + k] * _KEYS[k]
                 grams = mix64(total)
-            distinct, first, number = np.unique(grams, return_index=True, return_inverse=True)
+            by_hash = np.argsort(grams)  # equal ones in any order: one sort, and not a stable one
+            ordered = grams[by_hash]
+            new = np.ones(len(ordered), dtype=bool)
+            new[1:] = ordered[1:] != ordered[:-1]
             at = np.full(len(self.tokens), -1, dtype=np.int64)
-            at[ends] = number
-            self.hashes.append(distinct)
-            self.first.append(ends[first])  # a token at which each distinct n-gram ends
+            at[ends[by_hash]] = np.cumsum(new) - 1
+            self.hashes.append(ordered[new])
+            self.first.append(ends[by_hash[new]])  # a token at which each distinct n-gram ends
             self.at.append(at)
 
 
@@ -195,8 +199,10 @@ def unpack(batch):
 class Automaton:
     """The backoff automaton of a block's n-grams.
 
-    State 0 is the empty history; the other states are the n-grams seen in training, shorter than the
-    order, that don't end in the end token (nothing follows it). arcs maps state * words + word to an arc, with its next state and its weight.
+    State 0 is the empty history; the other states are the n-grams seen in training, shorter than the order, that don't end in
+    the end token (nothing follows it). Each seen n-gram is an arc, with its next state and its weight, from the state of its
+    history, so at a token a state of length d has an arc if the n-gram of length d + 1 that ends there was seen: `here[d]`
+    says its number for each token of the block, or -1.
     """
 
     def __init__(self, grams: Grams, counts: list[np.ndarray], total: int, distinct: int, k: float):
@@ -205,7 +211,8 @@ class Automaton:
         probability = [(counts[0] + ADD) / (total + ADD * (distinct + 1))]
         state_of: list[np.ndarray] = []  # of each n-gram: its own state if it was seen, else that of its seen end
         fail, backoff = [np.zeros(1, dtype=np.int64)], [np.zeros(1)]
-        keys, following, weights = [], [], []
+        keys, following, weights, self.here = [], [], [], []
+        length, arcs = [np.zeros(1, dtype=np.int64)], 0
         states = 1
         for n in range(1, order + 1):
             c, last = counts[n - 1], grams.first[n - 1]
@@ -224,27 +231,41 @@ class Automaton:
                 state_of.append(own)
                 fail.append(shorter[goes_on])
                 backoff.append(np.log10(k / (c[goes_on] + k)))
+                length.append(np.full(int(goes_on.sum()), n))
             begin = np.zeros(len(c), dtype=np.int64) if n == 1 else state_of[n - 2][grams.at[n - 2][last - 1]]
             some = np.ones(len(c), dtype=bool) if n == 1 else seen  # the empty history has an arc for each word
             keys.append((begin * words + grams.at[0][last])[some])
             following.append((own if n < order else shorter)[some])
             weights.append(np.log10(probability[n - 1])[some])
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), range(sum(map(len, keys))), strict=True))
-        self.following, self.weights = np.concatenate(following).tolist(), np.concatenate(weights).tolist()
-        self.fail, self.backoff = np.concatenate(fail).tolist(), np.concatenate(backoff).tolist()
-
-    def traverse(self, document: list[int]) -> float:
-        """log10 probability of a document: one pass that carries the state and adds the weights."""
-        find, following, weights, fail, backoff, words = self.arcs.get, self.following, self.weights, self.fail, self.backoff, self.words
+            number = np.append(np.where(some, arcs + np.cumsum(some) - 1, -1), -1)  # the last one for tokens at which none ends
+            self.here.append(number[grams.at[n - 1]])
+            arcs += int(some.sum())
+        self.keys, self.following, self.weights = np.concatenate(keys), np.concatenate(following), np.concatenate(weights)
+        self.fail, self.backoff, self.length = np.concatenate(fail).tolist(), np.concatenate(backoff).tolist(), np.concatenate(length).tolist()
+
+    @cached_property
+    def arcs(self) -> dict[int, int]:
+        """state * words + word: the number of the arc, for looking at single arcs."""
+        return dict(zip(self.keys.tolist(), range(len(self.keys)), strict=True))
+
+    def traverse(self, begin: int, end: int) -> float:
+        """log10 probability of the document at these tokens: one pass that carries the state and adds the weights."""
+        fail, backoff, length = self.fail, self.backoff, self.length
         state, total = 0, 0.0
-        for word in document:
-            arc = find(state * words + word)
-            while arc is None:
-                total += backoff[state]
-                state = fail[state]
-                arc = find(state * words + word)
-            state = following[arc]
-            total += weights[arc]
+        for at in range(begin, end, STRETCH):
+            here = [arcs[at : min(at + STRETCH, end)] for arcs in self.here]
+            following = [np.where(arcs >= 0, self.following[arcs], -1).tolist() for arcs in here]
+            weights = [self.weights[arcs].tolist() for arcs in here]
+            for i in range(len(here[0])):
+                d = length[state]
+                goes_to = following[d][i]
+                while goes_to < 0:
+                    total += backoff[state]
+                    state = fail[state]
+                    d = length[state]
+                    goes_to = following[d][i]
+                total += weights[d][i]
+                state = goes_to
         return total
 
 
@@ -360,7 +381,7 @@ def score(docs: DataFrame, order: int = 3, concentration: float = CONCENTRATION,
         of_token = counts[0][grams.at[0]]
         base = np.add.reduceat(np.log10(of_token + ADD), grams.begin) - np.array(sizes) * floor
         known = np.add.reduceat((of_token > 0).astype(np.int64), grams.begin)
-        scores = [automaton.traverse(grams.at[0][a : a + n].tolist()) for a, n in zip(grams.begin.tolist(), sizes, strict=True)]
+        scores = [automaton.traverse(a, a + n) for a, n in zip(grams.begin.tolist(), sizes, strict=True)]
         return pa.table(
             {
                 "doc_id": table.column("doc_id")[0].values,

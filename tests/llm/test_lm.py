@@ -83,6 +83,18 @@ def test_probabilities_add_up():
         assert abs(sum(chances) + unseen - 1) < 1e-9
 
 
+def test_stretches_carry_the_state(monkeypatch):
+    rng = np.random.default_rng(3)
+    documents = [np.r_[rng.integers(1, 9, n), lm.END].astype(np.uint64) for n in (0, 1, 40, 7)]
+    grams = lm.Grams(documents, 3)
+    seen = [np.bincount(a[:30][a[:30] >= 0], minlength=len(h)) for h, a in zip(grams.hashes, grams.at, strict=True)]
+    a = lm.Automaton(grams, seen, 30, 9, 4.0)
+    bounds = [(b, b + len(d)) for b, d in zip(grams.begin.tolist(), documents, strict=True)]
+    whole = [a.traverse(*b) for b in bounds]
+    monkeypatch.setattr(lm, "STRETCH", 3)
+    assert [a.traverse(*b) for b in bounds] == whole
+
+
 def test_small_counts():
     counts = np.array([0, 1, 254, 255, 256, 10**12])
     assert lm.unsmall(lm.small(counts), 6).tolist() == counts.tolist()
