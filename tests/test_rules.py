@@ -1,8 +1,11 @@
 """Rules of any number: what an expression requires, and issues against trying every rule on every line."""
 
+import random
 import re
 import warnings
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -38,6 +41,29 @@ def test_a_match_holds_the_literal(regex, text):
         assert rules.required_literal(regex) in text
 
 
+@pytest.mark.parametrize(
+    ("regex", "literal"),
+    [
+        (r"(?:^|\s)de\s+la\s+os(?:\s|$)", "de la os"), (r"ab\s+?cd", "ab"), (r"ab\s*cd", "ab"), (r"ab \scd", "ab cd"), ("a \t b", "a b"), (r"a\ b", "a b"), (r"ab\S+cd", "ab"), (r"\s{2}abc", "abc"),
+        (r"one\s|two", ""), ("ab +c", "ab "), (r"ab\s++c", "ab "), (r"(?:a\s+b)cd", "cd"), (r"日\s+本", "日 本"),
+    ],
+)
+def test_required_literal_over_white_space(regex, literal):
+    assert rules.required_literal(regex, spaced=True) == literal
+
+
+@given(st.text(st.sampled_from("ab.*+?()|[]^{}1,$\\ds \t"), max_size=12), st.text(st.sampled_from("ab1,ds .\t\n"), max_size=10))
+def test_a_match_holds_the_spaced_literal(regex, text):
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", FutureWarning)
+            compiled = re.compile(regex)
+    except (re.error, OverflowError):
+        return
+    if compiled.search(text):
+        assert rules.required_literal(regex, spaced=True) in re.sub(r"\s+", " ", text)
+
+
 def lines_of(spark, messages):
     return spark.createDataFrame([("f", i, None, "INFO", m) for i, m in enumerate(messages)], "file string, line_no long, ts timestamp, level string, message string")
 
@@ -73,6 +99,43 @@ def test_twenty_thousand_rules(spark, broadcast, n, monkeypatch, tmp_path):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_few_lines_are_asked(spark):
+    """Rules of short words are posted too, and lines become rows for what they share with a rule, not for each of their characters."""
+    texts = spark.createDataFrame([("de la os ga",), ("a b c",), ("i de ya",), ("the word here",), ("a word of something much longer than that",)], "text string")
+    table = phrase_rules(texts)
+    indexed, others = rules.posted(table)
+    assert others.count() == 0 and indexed.count() == table.count()
+    words = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod".split()
+    r = random.Random(5)
+    messages = [" ".join(r.choice(words) for _ in range(60)) for _ in range(500)]
+    hits = ["x a  b\tc", "a b\nc", "of something much", "of something  \x0b much", "xof something much", "de la osga", " de  la os ga ", "日本 i de ya", "i\t\tde ya", "a b", "c", "", " ", "\t \t"]
+    assert rules.asking(lines_of(spark, messages), indexed.select("key"), indexed.count()).count() <= 5
+    lines = lines_of(spark, messages + hits)
+    got = {(x.line_no, x.pattern) for x in rules.rule_issues(lines, table).collect()}
+    assert got == {(i, x.pattern) for i, m in enumerate(messages + hits) for x in table.collect() if re.search(x.regex, m)}
+    assert len(got) == 8
+
+
+@pytest.mark.parametrize("stretch", [5, 64, 1 << 16])
+def test_held_pieces(stretch, monkeypatch):
+    """Pieces over the bounds of stretches are found; pieces over the bounds of texts are not. Slices of a batch count from its own start."""
+    monkeypatch.setattr(rules, "STRETCH", stretch)
+    r = random.Random(stretch)
+    texts = ["".join(r.choice("ab \té") for _ in range(r.randrange(0, 90))) for _ in range(60)]
+    data, start = rules._spaced(pa.array(["cut", *texts]).slice(1))
+    plain = [re.sub(r"\s+", " ", t).encode() for t in texts]
+    assert [data[a:b].tobytes() for a, b in zip(start, start[1:], strict=False)] == plain
+    wanted = {p: h[-1] for p in plain[:20] for i in (4, 8, 12, 24) for h in [[x for _, x in rules._hashes(np.frombuffer(p[:i], np.uint8))]] if len(p) >= i for p in [p[:i]]}
+    bits = 20
+    slots = np.zeros(1 << bits, bool)
+    for h in wanted.values():
+        slots[[int(h[0]) >> (64 - bits), int(h[0]) & ((1 << bits) - 1)]] = True
+    text, key = rules._held(data, start, slots)
+    got = set(zip(text.tolist(), key.tolist(), strict=True))
+    assert len(got) == len(text)
+    assert got == {(i, int(h.view(np.int64)[0])) for i, p in enumerate(plain) for w, h in wanted.items() if w in p}
+
+
 def test_more_rules_without_literal_than_a_pass(spark, monkeypatch):
     monkeypatch.setattr(rules, "MAX_RULES", 3)
     table = monitoring.rule_table(spark, [(f"p{i}", f"[{i}]", "WARNING", None, None, None) for i in range(8)])
