@@ -15,7 +15,7 @@ from quarrylight.operators import measures, sync, temporal
 from quarrylight.plans import monitoring, rules
 from quarrylight.plans.queries import _CUR, _FILE_LINE, _SRC, ORACLES, _current, _query, _read, _read_kinds, _source, activities, notifications
 from quarrylight.sources import tables
-from quarrylight.sources.writers import shared_folder
+from quarrylight.sources.writers import computed_once, shared_folder
 from quarrylight.streaming import feeds as live
 from quarrylight.streaming import stateful
 
@@ -164,11 +164,15 @@ def events_during_errors(spark, d):
 
 @_query("events_during_anomalies", "WITH h AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1), r AS (SELECT hour AS a, hour + to_hours(n) AS b FROM h) SELECT strftime(a, '%Y-%m-%d %H') AS hour, count(*) AS n, min(event_id) AS first_id FROM r JOIN events ON ts >= a AND ts < b GROUP BY a")
 def events_during_anomalies(spark, d):
-    """Each hour is watched for as many hours as it had events: ranges of all lengths, without a key."""
+    """Each hour is watched for as many hours as it had events: ranges of all lengths, without a key.
+
+    Ranges begin and end on the hour, so whole hours are joined with them, added up before. An hour's range holds no more hours than the hour had events:
+    all together meet no more pairs than there are events."""
     e = _read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    ranges = e.groupBy(F.date_trunc("hour", "ts").alias("a")).agg(F.count("*").alias("n")).select("a", F.timestamp_micros(F.unix_micros("a") + F.col("n") * 3_600_000_000).alias("b"))
-    pairs = temporal.range_join(e.select("event_id", "ts"), ranges, "ts", "a", "b")
-    return pairs.groupBy("a").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")).select(F.date_format("a", "yyyy-MM-dd HH").alias("hour"), "n", "first_id")
+    hours = computed_once(e.groupBy(F.date_trunc("hour", "ts").alias("at")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")))  # both sides of the join
+    ranges = hours.select(F.col("at").alias("a"), F.timestamp_micros(F.unix_micros("at") + F.col("n") * 3_600_000_000).alias("b"))
+    pairs = temporal.range_join(hours, ranges, "at", "a", "b")
+    return pairs.groupBy("a").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id")).select(F.date_format("a", "yyyy-MM-dd HH").alias("hour"), "n", "first_id")
 
 
 def phrase_rules(texts: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """As-of and range joins against plain loops, and their plans."""
 
+import datetime
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.operators import temporal
+from quarrylight.plans import more_queries
 
 
 def left_of(spark, rows):
@@ -74,3 +76,24 @@ def test_long_ranges_are_not_cut_into_many(spark):
     out = temporal.range_join(p, g, "ts", "a", "b", bin_us=1000)
     assert sorted(x.p for x in out.collect()) == [1, 2]
     assert temporal.range_join(p, g.limit(0), "ts", "a", "b").collect() == []
+
+
+def test_crowded_hours_meet_as_hours(spark, tmp_path):
+    """Hours with hundreds of events: the join reads a row for each hour, not the events."""
+    r = random.Random(3)
+    day = datetime.datetime(2024, 1, 1)
+    moments = [day + datetime.timedelta(hours=h, seconds=r.randrange(3600)) for h in (0, 1, 2, 5, 400, 401, 2000) for _ in range({1: 1, 5: 600, 401: 3}.get(h, 400))]
+    moments += [day + datetime.timedelta(hours=2), day + datetime.timedelta(hours=3) - datetime.timedelta(microseconds=1), None]
+    ids = r.sample(range(10_000), len(moments))
+    rows = spark.createDataFrame(list(zip(ids, moments, strict=True)), "event_id long, ts timestamp_ntz")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    out = more_queries.events_during_anomalies(spark, str(tmp_path))
+    want = set()
+    hour = lambda t: t.replace(minute=0, second=0, microsecond=0)
+    for a in {hour(t) for t in moments if t}:
+        b = a + datetime.timedelta(hours=sum(t is not None and hour(t) == a for t in moments))
+        held = [i for i, t in zip(ids, moments, strict=True) if t and a <= t < b]
+        want.add((a.strftime("%Y-%m-%d %H"), len(held), min(held)))
+    assert {tuple(x) for x in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "event_id" not in plan
