@@ -5,11 +5,13 @@ import random
 import uuid
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.operators import measures, sync
 from quarrylight.plans import more_queries as more
+from quarrylight.plans import queries as base
 from quarrylight.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -112,3 +114,18 @@ def test_weighted_median(spark):
     rows = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 1.0), ("a", 9.0, 5.0), ("b", None, 1.0), ("c", 4.0, None), ("c", 3.0, 2.0)], "g string, v double, w double")
     got = {r.g: r.m for r in rows.groupBy("g").agg(more.weighted_median("v", "w").alias("m")).collect()}
     assert got["a"] == 9.0 and got["c"] == 3.0 and (got["b"] is None or math.isnan(got["b"]))
+
+
+def test_weighted_medians_of_many_groups(spark, tmp_path):
+    """Rows of the SQL, also for nulls, ties and weights of zero; no call of Python for each group, and one shuffle."""
+    r = random.Random(11)
+    maybe = lambda v: None if r.random() < 0.15 else v
+    rows = [(maybe(k), maybe(float(r.randrange(6))), maybe(float(r.choice([0, 1, 1, 2, 7, 50])))) for k in range(300) for _ in range(r.randrange(1, 9))]
+    rows += [(1000, None, 3.0), (1000, None, 1.0), (1001, 2.0, None), (1002, 2.0, 0.0), (1002, 1.0, 0.0), (1003, 5.0, 1.0), (1003, None, 9.0), (1004, math.nan, 5.0), (1004, 1.0, 4.0)]
+    spark.createDataFrame(rows, "l_partkey long, l_extendedprice double, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = more.part_weighted_median(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(map(str, (tuple(x) for x in out.collect()))) == sorted(map(str, c.sql(base.ORACLES["part_weighted_median"]).fetchall()))
+    assert "Arrow" not in plan and "Python" not in plan and plan.count("Exchange") == 1
